@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Each module is named as its query.
 OPERATORS = (
+    "op2_ngram_jaccard",
     "op7_quality_rules",
     "op10_language_id",
 )

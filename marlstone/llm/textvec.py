@@ -112,8 +112,7 @@ def grams(w: Words, width: int, whole_if_short: bool = True) -> tuple[np.ndarray
     if len(short):
         extra = np.empty(len(short), U)
         for i, r in enumerate(short):
-            x = U(len(w.ids[w.first[r] : w.first[r + 1]]))
-            x = np.array([x * U(0xD6E8FEB86659FD93)], U)
+            x = np.array([counts[r]], U) * U(0xD6E8FEB86659FD93)
             for v in w.ids[w.first[r] : w.first[r + 1]]:
                 x = mix(x * U(0x9FB21C651E98DF25) + v)
             extra[i] = x[0]
