@@ -1,11 +1,12 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit check.
 
-Symbols are words, lower-cased.  The CGK random walk reads a window: each step
-gives out the current word and moves on if a random bit of (step, word) is set.
+Symbols are pairs of neighbouring words, lower-cased, since single words are too
+common to tell windows apart.  The CGK random walk reads a window: each step
+gives out the current symbol and moves on if a random bit of (step, symbol) is set.
 Two windows at small edit distance get sequences at small Hamming distance,
 since walks that were pushed apart by an edit meet again.  A repetition samples
-``COORDINATES`` steps; windows whose sampled words agree collide.  The number
-of repetitions follows from the target recall.
+``COORDINATES`` steps; windows whose sampled symbols agree collide.  The number
+of repetitions follows from the target recall of one window.
 
 A passage's windows start at each of its words, a document's at every
 ``stride``-th; the spans are chosen so that any occurrence holds a window that
@@ -40,10 +41,10 @@ from pyspark.sql import functions as F
 from .textvec import U, buffers, chunks, mix, words
 
 SIMILARITY = 0.8
-TARGET_RECALL = 0.999
+TARGET_RECALL = 0.99
 #: Share of equal steps that a window of a passage at the limit is taken to have.
-EQUAL_STEPS = 0.6
-COORDINATES = 4
+EQUAL_STEPS = 0.4
+COORDINATES = 2
 MIN_ITEM_WORDS = 5
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
@@ -60,37 +61,47 @@ class Span(NamedTuple):
     steps: int
 
 
-SPANS = (Span(5, 12, 5, 1, 10), Span(12, 1 << 60, 12, 4, 24))
+#: A passage of ``least`` words has at least ``stride`` windows, so one of them starts on the documents' grid.
+SPANS = (Span(5, 15, 5, 1, 10), Span(15, 1 << 60, 12, 4, 24))
 
 
 def repetitions(recall: float = TARGET_RECALL, equal: float = EQUAL_STEPS, k: int = COORDINATES) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - equal**k))
 
 
-def walk(ids: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK sequences, a column for each window; a walk past its end gives zeros."""
-    at, out = start.copy(), np.zeros((steps, len(start)), np.uint32)
-    last = max(len(ids) - 1, 0)
-    coins = mix(ids ^ U(seed))
-    short = (coins ^ (coins >> U(32))).astype(np.uint32)
+def walk(symbols: np.ndarray, start: np.ndarray, steps: int, seed: int) -> np.ndarray:
+    """CGK sequences, a column for each window; walks that run past the last symbol read zeros."""
+    coins = np.concatenate([mix(symbols ^ U(seed)), np.zeros(steps, U)])
+    at, out = start.astype(np.int64), np.empty((steps, len(start)), np.uint32)
     for step in range(steps):
-        inside = at < end
-        here = np.minimum(at, last)
-        out[step] = np.where(inside, short[here], 0)
-        at += ((coins[here] >> U(step)) & U(1)).astype(np.int64)
+        here = coins.take(at)
+        out[step] = here
+        at += ((here >> U(32 + step)) & U(1)).view(np.int64)
     return out
 
 
 def _samples(span: Span, seed: int, reps: int) -> np.ndarray:
+    """Steps of each repetition: one out of each equal part of the walk, so that they show different symbols."""
     rng = np.random.default_rng(seed)
-    return np.stack([np.sort(rng.choice(span.steps, COORDINATES, replace=False)) for _ in range(reps)])
+    cuts = np.linspace(0, span.steps, COORDINATES + 1).astype(int)
+    return np.stack([rng.integers(lo, hi, reps) for lo, hi in zip(cuts, cuts[1:], strict=False)], axis=1)
+
+
+def _symbols(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each word with the next one of its row; a row's last word stands alone."""
+    nxt = np.append(ids[1:], U(0))
+    ends = first[1:][np.diff(first) > 0] - 1
+    nxt[ends] = 0
+    return mix(ids * U(0x9FB21C651E98DF25) + nxt)
 
 
 def _keys(seq: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    key = np.zeros(seq.shape[1], U)
-    for s in steps:
-        key = key * U(0x9FB21C651E98DF25) + seq[s]
-    return mix(key)
+    key = seq[steps[0]].astype(U)
+    for s in steps[1:]:
+        key *= U(0x9FB21C651E98DF25)
+        key += seq[s]
+    key *= U(0xD6E8FEB86659FD93)
+    return key
 
 
 class Index:
@@ -108,22 +119,23 @@ class Index:
             chosen = [k for k, (_, ids, _) in enumerate(self.items) if span.least <= len(ids) < span.below]
             if not chosen:
                 continue
-            ids = np.concatenate([self.items[k][1] for k in chosen])
             sizes = np.array([len(self.items[k][1]) for k in chosen])
             base = np.concatenate([[0], np.cumsum(sizes)])
+            ids = _symbols(np.concatenate([self.items[k][1] for k in chosen]), base)
             start = np.concatenate([base[i] + np.arange(n - span.words + 1) for i, n in enumerate(sizes)])
             which = np.repeat(np.arange(len(chosen)), sizes - span.words + 1)
             shift = start - base[which]
             for v in range(walks):
                 seed = SEED + 7919 * v + span.words
-                seq = walk(ids, start, start + span.words, span.steps, seed)
+                seq = walk(ids, start, span.steps, seed)
                 tables = []
                 for steps in _samples(span, seed, reps):
                     keys = _keys(seq, steps)
                     order = np.argsort(keys, kind="stable")
-                    filled = np.zeros(1 << 20, bool)
-                    filled[(keys >> U(44)).astype(np.int64)] = True
-                    tables.append((steps, filled, keys[order], np.array(chosen)[which][order], shift[order]))
+                    top = U(64 - max(12, int(len(keys) * 16).bit_length()))
+                    filled = np.zeros(1 << int(64 - top), bool)
+                    filled[keys >> top] = True
+                    tables.append((steps, top, filled, keys[order], np.array(chosen)[which][order], shift[order]))
                 self.plans.append((span, seed, tables))
         self.masks = []
         for _, ids, _ in self.items:
@@ -158,25 +170,19 @@ class Index:
         """Passages found in each row of words."""
         found: list[set[int]] = [set() for _ in range(len(first) - 1)]
         tried: set[tuple[int, int, int]] = set()
-        counts = np.diff(first)
+        symbols = _symbols(ids, first)
         for span, seed, tables in self.plans:
-            per = -(-counts // span.stride)
-            row = np.repeat(np.arange(len(counts)), per)
-            if not len(row):
-                continue
-            start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * span.stride
-            # The window may end at the row's end; a passage near it starts earlier as well.
-            seq = walk(ids, start, np.minimum(start + span.words, first[row + 1]), span.steps, seed)
-            for steps, filled, keys, item, shift in tables:
+            # One grid for all rows: a walk may run into the next row, but the check stays within its own.
+            start = np.arange(0, len(ids), span.stride)
+            seq = walk(symbols, start, span.steps, seed)
+            for steps, top, filled, keys, item, shift in tables:
                 key = _keys(seq, steps)
-                hit = np.flatnonzero(filled[(key >> U(44)).astype(np.int64)])
-                if not len(hit):
-                    continue
+                hit = np.flatnonzero(filled.take((key >> top).view(np.int64)))
                 lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
-                for h, a, b in zip(hit, lo, hi, strict=True):
+                for h, a, b in zip(hit[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
+                    r = int(np.searchsorted(first, start[h], "right")) - 1
                     for e in range(a, b):
-                        r, k = int(row[h]), int(item[e])
-                        begin = int(start[h]) - int(shift[e])
+                        k, begin = int(item[e]), int(start[h]) - int(shift[e])
                         if k in found[r] or (r, k, begin) in tried:
                             continue
                         tried.add((r, k, begin))
