@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Each module is named as its query.
 OPERATORS = (
     "op2_ngram_jaccard",
+    "op4_warc_bundles",
     "op5_bpe_codec",
+    "op6_html_extract",
     "op7_quality_rules",
     "op8_decontaminate",
     "op10_language_id",
