@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Each module is named as its query.
 OPERATORS = (
+    "op1_reshard",
     "op2_ngram_jaccard",
+    "op3_token_counts",
     "op4_warc_bundles",
     "op5_bpe_codec",
     "op6_html_extract",
     "op7_quality_rules",
     "op8_decontaminate",
+    "op9_license_scan",
     "op10_language_id",
 )
 
