@@ -9,8 +9,8 @@ hardly ever meet.
 
 Equal sets fold into one node first, so copies never meet each other.  Then:
 
-1. star: the smallest node of an n-gram's column meets the others of it, which
-   gives a number of pairs linear in the postings;
+1. stars: the smallest node of an n-gram's column meets the others of it, and then
+   the largest those that are not yet of its component: pairs linear in the postings;
 2. pairs are discarded by size, then by a parity bitmap (the popcount of the
    XOR is a lower bound of the symmetric difference);
 3. the rest are verified exactly: the overlap of both sets is counted;
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,13 @@ THRESHOLD = 85
 SKETCH_LOG2 = 22
 SKETCH_ROWS = 64
 #: 64-bit words of a parity bitmap, and their columns.
-BITMAP = ["w0", "w1", "w2", "w3"]
+BITMAP = [f"w{k}" for k in range(16)]
+#: The same folded by XOR to fewer words, which blocks of columns carry.
+FOLDED = [f"f{k}" for k in range(4)]
 #: Nodes of a column multiplied at once; longer columns are cut into blocks that meet pairwise.
 BLOCK = 1024
+#: Members of columns in one task, about.
+CELL_ROWS = 200_000
 #: Ids sent to all executors at most; beyond that the texts are joined with a shuffle.
 BROADCAST_IDS = 500_000
 #: Rows whose repeats a task recognises before it sends their postings.
@@ -123,18 +128,24 @@ def _levels(pieces: DataFrame) -> np.ndarray:
     return np.where(sketch > usual, np.log2(np.maximum(sketch, 1) / usual) + 1, 0).astype(np.uint8).reshape(-1)
 
 
+def _first_seen(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which names are new to this task; a full table lets repeats pass, which later steps fold."""
+    fresh = np.zeros(len(node), bool)
+    for i, name in enumerate(node.tolist()):
+        if name not in seen:
+            fresh[i] = True
+            if len(seen) < SEEN:
+                seen.add(name)
+    return fresh
+
+
 def _postings(width: int, threshold: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
         for batch in batches:
             for _, rows, h, first in _sets(batch.column("text"), width):
                 n, node = np.diff(first), _nodes(h, first)
-                fresh = np.zeros(rows, bool)
-                for i, name in enumerate(node.tolist()):
-                    if n[i] and name not in seen:
-                        fresh[i] = True
-                        if len(seen) < SEEN:
-                            seen.add(name)
+                fresh = (n > 0) & _first_seen(node, seen)
                 row = np.repeat(np.arange(rows), n)
                 use = fresh[row]
                 h, row = h[use], row[use]
@@ -151,25 +162,18 @@ def _postings(width: int, threshold: int, levels):
 
 
 def _sets_of(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, rows, h, first in _sets(batch.column("text"), width):
-                node, raw, at = _nodes(h, first), h.tobytes(), first * 8
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([raw[at[i] : at[i + 1]] for i in range(rows)], pa.binary())], ["node", "grams"])
-
-    return run
+    """The sets of texts that go to a target: rows (text, node, target); without a node, any set does."""
 
-
-def _overlap(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                at = np.searchsorted(b, a)
-                both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
-                ok.append(100 * both >= threshold * (len(a) + len(b) - both) and both > 0)
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            wanted, target = (batch.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("node", "target"))
+            for lo, rows, h, first in _sets(batch.column("text"), width):
+                node, to = _nodes(h, first).view(np.int64), target[lo : lo + rows]
+                ask = wanted[lo : lo + rows]
+                fresh = ((ask == node) | (ask == 0)) & _first_seen(mix(node.view(U)) ^ to.view(U), seen)
+                sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(node), sets], ["target", "node", "grams"]).filter(pa.array(fresh))
 
     return run
 
@@ -185,8 +189,9 @@ def _product(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         gram, left = table.column("gram").to_numpy(), table.column("left").to_numpy()
         node, comp, n, at = (table.column(c).to_numpy() for c in ("node", "comp", "n", "at"))
-        lead = table.column("lead").to_numpy()
-        bits = np.stack([table.column(w).to_numpy() for w in BITMAP], axis=1).view(U)
+        lead, last = table.column("lead").to_numpy(), table.column("last").to_numpy()
+        done = (node == lead) | (node == last)
+        bits = np.stack([table.column(w).to_numpy() for w in FOLDED], axis=1).view(U)
         found: list[np.ndarray] = []
         cell = np.stack([gram, table.column("pair").to_numpy()], axis=1)
         order = np.lexsort((cell[:, 1], cell[:, 0]))
@@ -198,7 +203,7 @@ def _product(threshold: int):
                 i = p[lo : lo + 256]
                 ni, nj = n[i][:, None].astype(np.int64), n[q][None, :].astype(np.int64)
                 need = _least_overlap(ni + nj, threshold)
-                ok = (comp[i][:, None] != comp[q][None, :]) & (node[i][:, None] != lead[q][None, :]) & (lead[i][:, None] != node[q][None, :])
+                ok = (comp[i][:, None] != comp[q][None, :]) & ~done[i][:, None] & ~done[q][None, :]
                 ok &= (100 * np.minimum(ni, nj) >= threshold * np.maximum(ni, nj)) & (np.minimum(ni - at[i][:, None], nj - at[q][None, :]) >= need)
                 a, b = np.nonzero(ok)
                 differ = np.bitwise_count(bits[i[a]] ^ bits[q[b]]).sum(axis=1)
@@ -224,11 +229,11 @@ class _Join:
         self.nodes = self.scratch.table(nodes, "nodes")
 
     def columns(self) -> DataFrame:
-        """(gram, lead, node, n, at) of the prefix n-grams that several nodes have."""
+        """(gram, lead, last, node, n, at) of the prefix n-grams that several nodes have."""
         levels = self.docs.sparkSession.sparkContext.broadcast(_levels(self.rows.filter("part is not null").select("part", "salt", "blob")))
         kind = "gram long, node long, n int, at int"
         postings = self.scratch.table(self.docs.select("text").mapInArrow(_postings(self.width, self.threshold, levels), kind), "postings")
-        leads = postings.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("gram", "lead")
+        leads = postings.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
         shared = self.scratch.table(postings.join(leads, "gram"), "columns")
         self.scratch.drop(postings)
         return shared
@@ -245,39 +250,61 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose counted overlap links them."""
         pairs = self.scratch.table(pairs, "pairs")
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = self.scratch.table(need.join(self.nodes, "node").select("doc_id"), "ids")
-        if empty(ids):
+        if empty(pairs):
             return pairs
-        known = ids.filter("doc_id is not null").distinct()
+        # b's set goes to a's, and a's own set is there once.
+        want = pairs.select(F.col("b").alias("node"), F.col("a").alias("target")).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("target")).distinct())
+        want = self.scratch.table(want.join(self.nodes.select("node", "doc_id"), "node"), "wanted")
+        known = want.filter("doc_id is not null")
         if known.count() <= BROADCAST_IDS:
             known = F.broadcast(known)
-        texts = self.docs.join(known, "doc_id", "left_semi").select("text")
-        if not empty(ids.filter("doc_id is null")):
-            texts = texts.union(self.docs.filter("doc_id is null").select("text"))
-        sets = self.scratch.table(texts.mapInArrow(_sets_of(self.width), "node long, grams binary").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        links = self.scratch.table(both.mapInArrow(_overlap(self.threshold), "a long, b long"), "links")
+        kind, ask = "target long, node long, grams array<long>", ["text", "node", "target"]
+        sets = self.docs.join(known, "doc_id").select(*ask).mapInArrow(_sets_of(self.width), kind)
+        lost = want.filter("doc_id is null").select("node", "target")
+        if not empty(lost):
+            free = self.docs.filter("doc_id is null").select("text", *(F.lit(None).cast("long").alias(c) for c in ask[1:]))
+            sets = sets.unionByName(free.mapInArrow(_sets_of(self.width), kind).drop("target").join(lost, "node"))
+        sets = self.scratch.table(sets, "sets")
+        own = sets.filter("node = target").select(F.col("target").alias("a"), F.col("grams").alias("x")).dropDuplicates(["a"])
+        sent = sets.filter("node <> target").toDF("a", "b", "y").join(own, "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+        linked = sent.filter(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * self.threshold)
+        links = self.scratch.table(linked.select("a", "b"), "links")
         self.scratch.drop(sets)
         return links
 
-    def rest(self, shared: DataFrame, links: DataFrame) -> DataFrame:
-        """Candidate pairs that the star left out: both apart from the column's first node, and from each other."""
+    def named(self, shared: DataFrame, links: DataFrame) -> DataFrame:
+        """The columns that hold several components, with each member's."""
         parts = connected_components(links, self.scratch)
         named = shared.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        named = self.scratch.table(named, "named")
-        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1 and m > 2")
-        sides = F.ceil(F.col("m") / BLOCK).cast("int")
-        cut = named.join(mixed.select("gram", sides.alias("k")), "gram").join(self.nodes.select("node", *BITMAP), "node")
+        return self.scratch.table(named, "named")
+
+    def second(self, shared: DataFrame, links: DataFrame) -> DataFrame:
+        """Pairs of a column's last node with members apart from it; the first node met them all."""
+        named = self.named(shared, links)
+        last = named.filter("node = last").select("gram", F.col("comp").alias("own")).distinct()
+        apart = named.filter("node <> last and node <> lead").join(last, "gram").filter("comp <> own")
+        return apart.select(F.least("last", "node").alias("a"), F.greatest("last", "node").alias("b"))
+
+    def rest(self, shared: DataFrame, links: DataFrame) -> DataFrame:
+        """Candidate pairs that the stars left out: of neither a column's first nor its last node, and apart."""
+        named = self.named(shared, links)
+        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1 and m > 3")
+        # Columns with the same first node have much the same members, so they are cut alike and share tasks:
+        # a pair that several of them hold is found once.
+        cells = named.join(mixed.select("gram", "m"), "gram")
+        plan = cells.groupBy("lead").agg(F.ceil(F.max("m") / BLOCK).cast("int").alias("k"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+        folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(w) for w in BITMAP[k :: len(FOLDED)]]).alias(f) for k, f in enumerate(FOLDED)]
+        cut = cells.join(plan, "lead").join(self.nodes.select("node", *folded), "node")
         # A member lies in one of k blocks of its column, which meets each of the k blocks once, itself included.
         own = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
         met = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         low, high = F.least("own", "other"), F.greatest("own", "other")
         met = met.withColumn("pair", (low * F.col("k") + high).cast("long")).withColumn("left", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int"))
-        # A short column shares its task with others; each block pair of a long one has its own.
-        spread = F.when(F.col("k") > 1, F.xxhash64("gram", "pair")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(self.tasks())))
-        rows = met.select("gram", "pair", "left", "lead", "node", "comp", "n", "at", *BITMAP, spread.alias("task"))
-        return rows.groupBy("task").applyInArrow(_product(self.threshold), "a long, b long").distinct()
+        # Small families of columns share a task; each pair of blocks of a large one has its own.
+        large = (F.col("k") > 1) | (F.col("parts") > 1)
+        spread = F.when(large, F.xxhash64("lead", "pair", F.pmod(F.xxhash64("gram"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("lead"), F.lit(self.tasks())))
+        rows = met.select("gram", "pair", "left", "lead", "last", "node", "comp", "n", "at", *FOLDED, spread.alias("task"))
+        return rows.groupBy("task").applyInArrow(_product(self.threshold), "a long, b long")
 
     def tasks(self) -> int:
         """Groups of short columns: about 20,000 postings each."""
@@ -288,8 +315,8 @@ class _Join:
         shared = self.columns()
         self.n_shared = shared.count()
         links = self.verified(self.bounded(shared.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))))
-        more = self.verified(self.rest(shared, links))
-        links = links.unionByName(more).distinct()
+        for find in (self.second, self.rest):
+            links = self.scratch.table(links.unionByName(self.verified(self.bounded(find(shared, links)))), "links")
         return links, connected_components(links, self.scratch)
 
 
