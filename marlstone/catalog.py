@@ -1,15 +1,264 @@
-"""Queries over the driver's tables, by name, and the SQL that states the same."""
+"""Queries over the driver's tables, by name, and the SQL that states the same.
+
+The engine's own data are script trees; these queries apply its operators to
+tables that have the same shape.  Ordered results carry an explicit rank.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from .functions import requirements, scalars
+from .operators import blocks, graph, report
+from .sources import script, versions
+
+# The closed list that stands for languages, in its order.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+#: Stands for the active languages.
+ACTIVE = ("de", "en", "fr")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References (key) and missing keys: customers by order priority."""
+    orders = _table(spark, sf_dir, "orders")
+    refs = orders.select(F.col("o_custkey").cast("string").alias("key")).distinct()
+    dimension = spark.createDataFrame(list(enumerate(PRIORITIES)), "ord int, lang string")
+    present = orders.select(F.col("o_orderpriority").alias("lang"), F.col("o_custkey").cast("string").alias("key")).distinct()
+    return refs, report.missing(refs, dimension, present)
+
+
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir)[1]
+
+
+def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(*_orders(spark, sf_dir))
+
+
+def missing_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.top(_orders(spark, sf_dir)[1]).select("rank", "key", "absent")
+
+
+_MISSING = f"""
+with d(ord, lang) as (values {", ".join(f"({i}, '{p}')" for i, p in enumerate(PRIORITIES))}),
+refs as (select distinct o_custkey::varchar as key from orders),
+present as (select distinct o_orderpriority as lang, o_custkey::varchar as key from orders),
+gone as (select r.key, string_agg(d.lang, ', ' order by d.ord) as absent from refs r cross join d
+         where not exists (select 1 from present p where p.lang = d.lang and p.key = r.key) group by r.key)
+"""
+
+
+def language_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (lang, key) of the active languages."""
+    docs = _table(spark, sf_dir, "documents").select("lang", F.col("source").alias("key"))
+    active = spark.createDataFrame([(x,) for x in ACTIVE], "lang string")
+    return docs.join(F.broadcast(active), "lang", "left_semi").distinct()
+
+
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each brand in natural order; a few brands, so one window is enough."""
+    brands = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand")).distinct()
+    return brands.select("brand", F.row_number().over(Window.orderBy(scalars.natural_key(F.col("brand")), "brand")).alias("rank"))
+
+
+def byte_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second occurrence of a word, in bytes."""
+    t, key = F.coalesce("text", F.lit("")), F.lit(" de ")
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.byte_offset(t, key).alias("first_at"), scalars.second_byte_offset(t, key).alias("second_at"))
+
+
+def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all lines but the first of a text, counted by language."""
+    lines = _table(spark, sf_dir, "documents").select("lang", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter("at > 0")
+    keys = lines.select("lang", scalars.line_key(F.col("line")).alias("key")).filter("key <> ''").distinct()
+    return keys.groupBy("lang").agg(F.count("*").alias("n_keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+def first_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each link the least (page, byte offset) that has it."""
+    pages = _table(spark, sf_dir, "pages").select("url", "html")
+    refs = pages.select("url", "html", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("key"))
+    return report.first_refs(refs.select("key", F.col("url").alias("path"), scalars.byte_offset(F.col("html"), F.col("key")).alias("offset")))
+
+
+def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of a key after its first row, in order of part and supplier."""
+    nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey"))
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").withColumn("nth", nth)
+    return rows.filter("nth > 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "nth")
+
+
+def nested_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested field by its path; rows without it are left out."""
+    found = _table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("long").alias("k")).filter("k is not null")
+    return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("total"), F.count_distinct("k").alias("n_distinct"))
+
+
+def edge_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from a turn to the one two later whose ends both are the user's, within a conversation."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("group_id"), F.col("turn").alias("id"), "role")
+    edges = turns.select("group_id", F.col("id").alias("src"), (F.col("id") + 2).alias("dst")).distinct()
+    return graph.inner_edges(turns.filter("role = 'user'"), edges).select("group_id", "src", "dst")
+
+
+def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph for each of 2000 orders: parts in a scrambled order, edges from lower to higher."""
+    rows = _table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("group_id"), F.col("l_partkey").alias("id")).distinct()
+    idx = F.row_number().over(Window.partitionBy("group_id").orderBy((F.col("id") * 7919) % 1009, "id"))
+    nodes = rows.withColumn("idx", idx)
+    edges = rows.toDF("group_id", "src").join(rows.toDF("group_id", "dst"), "group_id").filter("src < dst and (src + dst) % 3 = 0")
+    return nodes, edges
+
+
+def stable_toposort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = graph.toposort(*_order_graph(spark, sf_dir)).filter("ok")
+    return done.select("group_id", "id", "rank", "component")
+
+
+def in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_degrees(_order_graph(spark, sf_dir)[1])
+
+
+def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose graph has a cycle, after an edge back from the highest part to the lowest."""
+    nodes, edges = _order_graph(spark, sf_dir)
+    ends = nodes.groupBy("group_id").agg(F.max("id").alias("src"), F.min("id").alias("dst"))
+    return graph.toposort(nodes, edges.unionByName(ends)).filter("not ok").select("group_id")
+
+
+_GRAPH = """
+with recursive rows_ as (select distinct l_orderkey as g, l_partkey as id from lineitem where l_orderkey < 2000),
+n as (select g, id, row_number() over (partition by g order by (id * 7919) % 1009, id) as idx from rows_),
+e as (select a.g, a.idx as src, b.idx as dst, a.id as src_id, b.id as dst_id from n a join n b on a.g = b.g and a.id < b.id and (a.id + b.id) % 3 = 0),
+both_ as (select g, src as x, dst as y from e union select g, dst, src from e),
+reach(g, x, y) as (select g, idx, idx from n union select r.g, r.x, b.y from reach r join both_ b on b.g = r.g and b.x = r.y),
+comp as (select g, x as idx, min(y) as c from reach group by g, x),
+"""
+
+
+def max_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest version by type of part; names that are none are left out."""
+    part = _table(spark, sf_dir, "part")
+    name = F.when(F.col("p_size") % 7 == 0, F.lit("none")).otherwise(F.concat_ws(".", (F.col("p_size") % 5).cast("string"), (F.col("p_partkey") % 23).cast("string"), F.col("p_size").cast("string"), F.lit("0")))
+    rows = part.select("p_type", name.alias("name"))
+    best = rows.groupBy("p_type").agg(F.max(scalars.version_parts(F.col("name"))).alias("v"))
+    return best.select("p_type", F.concat_ws(".", "v.major", "v.minor", "v.patch").alias("version"))
+
+
+def version_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parts' versions meet a requirement of their type."""
+    part = _table(spark, sf_dir, "part")
+    version = F.concat_ws(".", (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 5).cast("string"), (F.col("p_size") % 3).cast("string"))
+    wants = F.element_at(F.array(*map(F.lit, ("1.*", "~2.3", "^1.2.1", ">=1.2, <3"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    rows = part.select("p_partkey", wants.alias("requirement"), version.alias("version"))
+    return rows.withColumn("met", requirements.requirement_matches(F.col("requirement"), F.col("version")))
+
+
+def route_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the folder that their path begins with, as files are by theirs."""
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]*/([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"^([^/]*)", 1)
+    route = F.when(folder.isin(*ACTIVE), folder).otherwise("other")
+    return _table(spark, sf_dir, "pages").select(route.alias("route"), scalars.file_prefix(F.regexp_extract(path, r"([^/]*)/?$", 1)).alias("prefix")).groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("prefix").alias("n_prefixes"))
+
+
+def comma_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = _table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.sum(F.floor("o_totalprice")).alias("total"))
+    return total.select("o_orderpriority", scalars.with_commas(F.col("total")).alias("total"))
+
+
+def repeated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key's values as JSON: a list only if there are several."""
+    rows = _table(spark, sf_dir, "conversations").select(F.lit("").alias("parent"), F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("ord"), F.col("role").alias("value"))
+    return versions.folded_values(rows).select("key", "json")
+
+
+_KEYWORDS = ("country_event", "news_event")
+
+
+def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each customer: a block for each order, by date, that names the order before it by number."""
+    orders = _table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, _KEYWORDS[0]).otherwise(_KEYWORDS[1])
+    block = F.concat(kind, F.lit(" = {\n\tid = o."), F.col("o_orderkey").cast("string"), F.lit("\n\ttitle = o."), F.col("o_orderkey").cast("string"), F.lit(".t\n}\n"))
+    rows = orders.select("o_custkey", F.struct("o_orderdate", "o_orderkey", block.alias("block")).alias("b"))
+    texts = rows.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda x: x["block"]), "\n").alias("text"))
+    return texts.select(F.concat(F.lit("events/"), F.col("o_custkey").cast("string")).alias("path"), "text")
+
+
+def script_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars of the parsed scripts, counted by path of keys."""
+    nodes = script.nodes(_scripts(spark, sf_dir)).filter("kind = 'scalar'")
+    return nodes.groupBy(F.array_join("key_path", "/").alias("keys")).agg(F.count("*").alias("n"), F.count_distinct("scalar").alias("n_values"))
+
+
+def block_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts with their blocks in natural order of the ids, and whether that changed them."""
+    files = _scripts(spark, sf_dir)
+    ids = script.nodes(files).filter("kind = 'scalar' and key = 'id' and depth = 1").select("path", "scalar")
+    ordered = ids.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct(scalars.natural_key(F.col("scalar")).alias("k"), "scalar"))), lambda x: x["scalar"]).alias("ids"))
+    out = files.join(ordered, "path").withColumn("new_text", blocks.rewritten(F.col("text"), F.col("ids"), _KEYWORDS))
+    return out.select("path", F.md5("new_text").alias("digest"), (F.col("new_text") != F.col("text")).alias("changed"))
+
+
+def drift_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_reorder(spark, sf_dir).agg(F.bool_or("changed").alias("drift"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
+
+
+_SCRIPTS = """
+with b as (select o_custkey, o_orderdate, o_orderkey,
+  case when o_orderkey % 2 = 0 then 'country_event' else 'news_event' end || ' = {' || chr(10) || chr(9) || 'id = o.' || o_orderkey || chr(10)
+  || chr(9) || 'title = o.' || o_orderkey || '.t' || chr(10) || '}' || chr(10) as block from orders),
+t as (select 'events/' || o_custkey as path, string_agg(block, chr(10) order by o_orderdate, o_orderkey) as before,
+             string_agg(block, chr(10) order by o_orderkey) as after from b group by o_custkey)
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = (missing_keys, missing_summary, missing_top10, language_keys, natural_sort, byte_offset, line_keys, first_ref, duplicate_rows, nested_project, edge_semi, stable_toposort, in_degree, cycle_groups, max_version, version_match, route_files, comma_format, repeated_values, script_nodes, block_reorder, drift_flag)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    active = ", ".join(f"'{x}'" for x in ACTIVE)
+    return {
+        "missing_keys": _MISSING + "select key, absent from gone",
+        "missing_summary": _MISSING + f"select (select count(*) from gone) as missing, (select count(*) from refs) as total, greatest((select count(*) from gone) - {report.SHOWN}, 0)::bigint as hidden, 'Found ' || format('{{:,}}', (select count(*) from gone)) || '/' || format('{{:,}}', (select count(*) from refs)) as line",
+        "missing_top10": _MISSING + f"select (row_number() over (order by key))::int as rank, key, absent from gone order by key limit {report.SHOWN}",
+        "language_keys": f"select distinct lang, source as key from documents where lang in ({active})",
+        "natural_sort": "select brand, (row_number() over (order by regexp_extract(brand, '^([^0-9]*)', 1), regexp_extract(brand, '([0-9]+)', 1)::bigint, brand))::int as rank from (select distinct p_brand as brand from part)",
+        "byte_offset": "with t as (select doc_id, coalesce(text, '') as t, instr(coalesce(text, ''), ' de ') as p from documents), u as (select *, instr(substr(t, p + 4), ' de ') as q from t) select doc_id, case when p > 0 then strlen(substr(t, 1, p - 1)) else 0 end::bigint as first_at, case when p > 0 and q > 0 then strlen(substr(t, 1, p + q + 2)) when p > 0 then strlen(substr(t, 1, p - 1)) else 0 end::bigint as second_at from u",
+        "line_keys": "with l as (select lang, unnest(string_split(text, chr(10))[2:]) as line from documents where text is not null), k as (select distinct lang, split_part(regexp_replace(line, '^\\s+', ''), ':', 1) as key from l) select lang, count(*) as n_keys, min(key) as first_key, max(key) as last_key from k where key <> '' group by lang",
+        "first_ref": "with r as (select url, html, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as key from pages), o as (select key, url as path, strlen(substr(html, 1, instr(html, key) - 1))::bigint as \"offset\" from r) select key, path, \"offset\" from o qualify row_number() over (partition by key order by path, \"offset\") = 1",
+        "duplicate_rows": "select * from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, (row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey))::int as nth from lineitem) where nth > 1",
+        "nested_project": "with k as (select event_type, try_cast(json_extract_string(props, '$.k') as bigint) as k from events) select event_type, count(*) as n, sum(k)::bigint as total, count(distinct k) as n_distinct from k where k is not null group by event_type",
+        "edge_semi": "with t as (select distinct conv_id as g, turn as id, role from conversations) select a.g as group_id, a.id as src, a.id + 2 as dst from t a where a.role = 'user' and exists (select 1 from t b where b.g = a.g and b.id = a.id + 2 and b.role = 'user')",
+        "stable_toposort": _GRAPH
+        + """p as (select n.g, n.idx, n.id, c.c, coalesce((select list(e.src) from e where e.g = n.g and e.dst = n.idx), []) as preds from n join comp c on c.g = n.g and c.idx = n.idx),
+r(g, step, em) as (select distinct g, 0, []::bigint[] from n union all
+  select r.g, r.step + 1, list_append(any_value(r.em), arg_min(p.idx, p.c * 100000 + p.idx)) from r join p on p.g = r.g and not list_contains(r.em, p.idx) and list_has_all(r.em, p.preds) group by r.g, r.step),
+last_ as (select g, arg_max(em, step) as em from r group by g),
+o as (select g, unnest(em) as idx, (generate_subscripts(em, 1) - 1)::int as rank from last_)
+select o.g as group_id, n.id, o.rank, m.id as component from o join n on n.g = o.g and n.idx = o.idx join comp c on c.g = o.g and c.idx = o.idx join n m on m.g = o.g and m.idx = c.c""",
+        "in_degree": _GRAPH + "z as (select 1) select g as group_id, dst_id as id, count(*) as degree from e group by g, dst_id",
+        "cycle_groups": _GRAPH
+        + """ends as (select g, max(id) as hi, min(id) as lo from n group by g),
+down(g, id) as (select g, lo from ends union select d.g, e.dst_id from down d join e on e.g = d.g and e.src_id = d.id)
+select distinct d.g as group_id from down d join ends x on x.g = d.g and x.hi = d.id""",
+        "max_version": "with v as (select p_type, p_size % 5 as a, p_partkey % 23 as b, p_size as c from part where p_size % 7 <> 0) select p_type, a || '.' || b || '.' || c as version from v qualify row_number() over (partition by p_type order by a desc, b desc, c desc) = 1",
+        "version_match": "with v as (select p_partkey, p_partkey % 4 as w, p_size % 4 as a, p_partkey % 5 as b, p_size % 3 as c from part) select p_partkey, case w when 0 then '1.*' when 1 then '~2.3' when 2 then '^1.2.1' else '>=1.2, <3' end as requirement, a || '.' || b || '.' || c as version, case w when 0 then a = 1 when 1 then a = 2 and b = 3 when 2 then a = 1 and (b > 2 or b = 2 and c >= 1) else (a > 1 or a = 1 and b >= 2) and a < 3 end as met from v",
+        "route_files": f"with p as (select regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) as path from pages), f as (select case when regexp_extract(path, '^([^/]*)', 1) in ({active}) then regexp_extract(path, '^([^/]*)', 1) else 'other' end as route, regexp_extract(regexp_extract(path, '([^/]*)/?$', 1), '^(\\.?[^.]*)', 1) as prefix from p) select route, count(*) as n, count(distinct prefix) as n_prefixes from f group by route",
+        "comma_format": "select o_orderpriority, format('{:,}', sum(floor(o_totalprice))::bigint) as total from orders group by o_orderpriority",
+        "repeated_values": "with g as (select conv_id::varchar as key, list(role order by turn, role) as v from conversations group by conv_id) select key, case when len(v) = 1 then '{\"v\":\"' || v[1] || '\"}' else '{\"v\":[' || list_aggregate(list_transform(v, lambda x: '\"' || x || '\"'), 'string_agg', ',') || ']}' end as json from g",
+        "script_nodes": "with b as (select case when o_orderkey % 2 = 0 then 'country_event' else 'news_event' end as k, o_orderkey from orders), f as (select k, unnest(['id', 'title']) as f, o_orderkey from b) select k || '/' || f as keys, count(*) as n, count(distinct o_orderkey) as n_values from f group by k, f",
+        "block_reorder": _SCRIPTS + "select path, md5(after) as digest, before <> after as changed from t",
+        "drift_flag": _SCRIPTS + "select bool_or(before <> after) as drift, sum((before <> after)::int)::bigint as n_changed from t",
+    }

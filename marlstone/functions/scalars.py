@@ -25,7 +25,7 @@ LANGUAGES = (
 def natural_key(value: Column) -> Column:
     """An orderable array: digit runs as numbers, before all else as text."""
     runs = F.regexp_extract_all(value, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    top = F.lit(MAX_NUMBER).cast("decimal(20,0)")
+    top = F.lit(str(MAX_NUMBER)).cast("decimal(20,0)")
 
     def part(p: Column) -> Column:
         is_number = p.rlike(r"^[0-9]")

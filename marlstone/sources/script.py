@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-NODES = "path string, node_id int, parent_id int, depth int, ord int, key_path array<string>, key string, kind string, scalar string, start long, end long"
+NODES = "path string, node_id int, parent_id int, depth int, ord int, key_path array<string>, ids array<int>, key string, kind string, scalar string, start long, end long, hit long, key_hit long"
 
 _TOKEN = re.compile(
-    rb"""(?P<skip>[\s;\xef\xbb\xbf]+|\#[^\r\n]*)
+    rb"""(?P<skip>[\s;]+|\A\xef\xbb\xbf|\#[^\r\n]*)
        | "(?P<quoted>[^"]*)"
        | (?P<brace>[{}])
        | (?P<op>[<>=!?]=|[<>=])
@@ -43,7 +43,7 @@ def tokens(data: bytes) -> Iterator[tuple[str, bytes, int, int]]:
 def parse(text: str) -> list[dict]:
     """Nodes in document order; an object's ``end`` is after its closing brace."""
     out: list[dict] = []
-    above = [{"node_id": -1, "depth": -1, "key_path": [], "count": 0}]
+    above = [{"node_id": -1, "depth": -1, "key_path": [], "ids": [], "count": 0}]
     key: tuple[str, int] | None = None
     has_op = False
 
@@ -51,7 +51,7 @@ def parse(text: str) -> list[dict]:
         nonlocal key, has_op
         top = above[-1]
         name, begin = key if key and has_op else (None, start)
-        node = {"node_id": len(out), "parent_id": top["node_id"], "depth": top["depth"] + 1, "ord": top["count"], "key_path": [*top["key_path"], name or ""], "key": name, "kind": kind, "scalar": scalar, "start": begin, "end": end, "count": 0}
+        node = {"node_id": len(out), "parent_id": top["node_id"], "depth": top["depth"] + 1, "ord": top["count"], "key_path": [*top["key_path"], name or ""], "ids": [*top["ids"], len(out)], "key": name, "kind": kind, "scalar": scalar, "start": begin, "end": end, "count": 0}
         top["count"] += 1
         out.append(node)
         key, has_op = None, False
@@ -91,8 +91,20 @@ def parse(text: str) -> list[dict]:
     return out
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """The nodes of files (path, text); unreadable files give none."""
+def nodes(files: DataFrame, hits: bool = False) -> DataFrame:
+    """The nodes of files (path, text); unreadable files give none.
+
+    ``ids`` are the node ids along ``key_path``.  With ``hits``, ``hit`` and
+    ``key_hit`` are the bytes before the first occurrence of the scalar and of
+    the key anywhere in the text, which need not be the node itself.
+    """
+
+    def located(found: list[dict], text: str) -> list[dict]:
+        data = text.encode()
+        for n in found:
+            for to, what in (("hit", n["scalar"]), ("key_hit", n["key"])):
+                n[to] = max(data.find(what.encode()), 0) if hits and what is not None else None
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in NODES.split(", ")]
@@ -100,9 +112,10 @@ def nodes(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 try:
-                    rows += [{"path": path} | n for n in parse(text)]
+                    rows += [{"path": path} | n for n in located(parse(text), text)]
                 except Unreadable:
                     continue
-            yield pd.DataFrame(rows, columns=[*names, "count"])[names]
+            out = pd.DataFrame(rows, columns=[*names, "count"])[names]
+            yield out.astype({"hit": "Int64", "key_hit": "Int64"})
 
     return files.select("path", "text").mapInPandas(run, NODES)
