@@ -1,0 +1,265 @@
+"""Sources, parser, graph order, rewriting and reports over small trees of our own."""
+
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from marlstone.functions import requirements, scalars
+from marlstone.operators import blocks, graph, report
+from marlstone.plans import trees
+from marlstone.sources import files, script, versions
+
+FOCUSES = """focus_tree = {
+\tid = t
+\t# goes with b
+\tfocus = {
+\t\tid = b
+\t\trelative_position_id = a
+\t}
+\tfocus = {
+\t\tid = c
+\t\tprerequisite = { focus = b focus = a }
+\t}
+
+\tfocus = {
+\t\tid = a
+\t}
+}
+"""
+EVENTS = """add_namespace = x
+country_event = {
+\tid = x.10
+\ttitle = x.10.t
+\toption = { name = x.10.a }
+}
+news_event = {
+\tid = x.2
+\tdesc = x.2.d
+\ttitle = { text = no }
+\timmediate = { if = { country_event = { id = x.10 news_event = x.2 } } }
+}
+"""
+
+
+@pytest.fixture
+def mod(tmp_path):
+    def put(name, text, encoding="utf-8"):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text.encode(encoding))
+        return p
+
+    put("descriptor.mod", 'name="x"\nsupported_version="1.17.*"\nname="y"\nreplace_path="a"\nreplace_path="b"\n')
+    put("common/national_focus/f.txt", FOCUSES)
+    put("events/_e.txt", EVENTS)
+    put("common/technologies/t.txt", "technologies = { @v = 1 tank = { x = 1 } gun = 2 }")
+    put("localisation/english/a_l_english.yml", 'l_english:\n a: "A"\n \tb:0 "B"\n# c: no\n\nx.10.t\nx.2.d: y\r\n')
+    put("localisation/x.y_l_german.yml", "l_german:\n a: no\n")
+    put("events/final_l_german.txt", "l_german:\n a: ja\n")
+    put("events/bad.txt", "country_event = { title = \xe9 }", "latin-1")
+    return tmp_path
+
+
+def test_tree_reads_hidden_names_and_skips_what_is_not_utf8(spark, mod):
+    names = {r["name"] for r in files.read_tree(spark, str(mod)).collect()}
+    assert "_e.txt" in names and "bad.txt" not in names and len(names) == 7
+
+
+def test_language_mark_goes_before_folder(spark, mod):
+    got = {r["name"]: (r["route"], r["lang"]) for r in files.routed(files.read_tree(spark, str(mod))).collect()}
+    assert got["final_l_german.txt"] == ("localisation", "german")
+    assert got["x.y_l_german.yml"] == (None, None)
+    assert got["_e.txt"] == ("events", None)
+
+
+def test_keys_of_lines(spark, mod):
+    got = {(r["lang"], r["key"]) for r in files.load_keys(files.read_tree(spark, str(mod))).collect()}
+    # A line without a colon is a key with its line break; a comment keeps its mark.
+    assert got == {("english", "a"), ("english", "b"), ("english", "# c"), ("english", "x.10.t\n"), ("english", "x.2.d"), ("german", "a")}
+
+
+def test_references(spark, mod):
+    got = {r["key"]: r["offset"] for r in trees.references(files.read_tree(spark, str(mod))).collect()}
+    assert set(got) == {"a", "b", "c", "x.10.t", "x.10.a", "x.2.d", "tank", "gun"}
+    assert got["x.10.t"] == EVENTS.index("x.10.t")
+    # The first substring hit counts, not the definition.
+    assert got["a"] == FOCUSES.index("a")
+
+
+def test_lint_counts_a_language_without_files_as_missing_everything(spark, mod):
+    found = trees.lint(spark, str(mod), ["french", "english"])
+    rows = {r["key"]: r["detail"] for r in found.diagnostics.filter("kind = 'missing_localisation'").collect()}
+    assert rows["c"] == "english, french" and rows["a"] == "french"
+    s = found.summary.first()
+    assert (s["missing"], s["total"], s["hidden"], s["line"]) == (8, 8, 0, "Found 8/8")
+
+
+def test_chinese_comes_second(spark, mod):
+    rows = trees.lint(spark, str(mod), every=True).diagnostics.filter("key = 'gun'").collect()
+    assert rows[0]["detail"].split(", ")[:3] == ["braz_por", "simp_chinese", "english"]
+
+
+def test_descriptor(spark, mod):
+    text = (mod / "descriptor.mod").read_text()
+    names = spark.createDataFrame([("1.16.2",), ("1.18.0.1",), ("beta",)], "name string")
+    own = spark.createDataFrame([("d", text)], "path string, text string")
+    got = {(r["kind"], r["key"]): (r["detail"], r["offset"], r["length"]) for r in trees.check_descriptor(own, names).collect()}
+    assert got == {("duplicate_key", "name"): ("", text.rindex("name"), 4), ("version_mismatch", "1.17.*"): ("1.18.0", text.index("1.17.*"), 6)}
+    assert {r["kind"] for r in trees.check_descriptor(own).collect()} == {"duplicate_key"}
+
+
+def test_format_orders_blocks_and_is_idempotent(spark, mod):
+    trees.run(spark, str(mod), do_format=True, do_check=True)
+    text = (mod / "common/national_focus/f.txt").read_text()
+    places = [text.index(f"id = {x}\n") for x in "abc"]
+    assert places == sorted(places) and text.index("# goes with b") < places[1]
+    events = (mod / "events/_e.txt").read_text()
+    assert events.index("id = x.2") < events.index("id = x.10\n")
+    once = text, events
+    trees.run(spark, str(mod), do_format=True)
+    assert once == ((mod / "common/national_focus/f.txt").read_text(), (mod / "events/_e.txt").read_text())
+
+
+def test_check_reports_drift_and_lint_error_hides_it(spark, mod):
+    with pytest.raises(trees.FormatDrift):
+        trees.run(spark, str(mod), do_check=True)
+    with pytest.raises(trees.MissingLocalisations):
+        trees.run(spark, str(mod), do_check=True, do_lint=True, show=lambda x: None)
+    (mod / "descriptor.mod").unlink()
+    with pytest.raises(trees.NotATree):
+        trees.run(spark, str(mod))
+
+
+def test_empty_tree(spark, tmp_path):
+    (tmp_path / "descriptor.mod").write_text("")
+    trees.run(spark, str(tmp_path), True, True, True, show=lambda x: None)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "focus = { id = b } focus = { id = a }",
+        "focus = { id = b }\nfocus = {\n id = a\n}\n",
+        "focus_tree = { focus = {\n id = b\n}\nfocus = {\n id = a\n}\n}",
+        "focus = {\n id = a\n}\nfocus = {\n id = a\n}\n",
+        "focus = {\n id = b\n",
+    ],
+)
+def test_unsafe_blocks_stay(spark, text):
+    df = spark.createDataFrame([(text, ["a", "b"])], "t string, ids array<string>")
+    assert df.select(blocks.rewritten(F.col("t"), F.col("ids"), ("focus",)).alias("x")).first()["x"] == text
+
+
+def test_gaps_and_line_ends():
+    text = "focus = {\r\n id = b\r\n} # own\r\nkeep me\r\nfocus = {\r\n id = a\r\n}"
+    out = blocks.reorder(text, blocks.find(text, ("focus",)), ["a", "b"])
+    assert out == "focus = {\r\n id = a\r\n}\r\nkeep me\r\nfocus = {\r\n id = b\r\n} # own\r\n"
+    assert blocks.reorder(out, blocks.find(out, ("focus",)), ["a", "b"]) == out
+
+
+def test_parser():
+    got = [(n["key_path"], n["kind"], n["scalar"]) for n in script.parse('a = "x y" # c\nb > 1 l = { p q r = {} } é=ü')]
+    assert got == [(["a"], "scalar", "x y"), (["b"], "scalar", "1"), (["l"], "object", None), (["l", ""], "scalar", "p"), (["l", ""], "scalar", "q"), (["l", "r"], "object", None), (["é"], "scalar", "ü")]
+    assert script.parse("") == [] and len(script.parse("} a = 1")) == 1
+    with pytest.raises(script.Unreadable):
+        script.parse("a = {")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=20))
+def test_order_properties(n, edges):
+    edges = [(a % n, b % n) for a, b in edges]
+    out, part = graph.order(n, edges)
+    acyclic = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    out2, part2 = graph.order(n, acyclic)
+    assert sorted(out2) == list(range(n))
+    at = {x: k for k, x in enumerate(out2)}
+    assert all(at[a] < at[b] for a, b in acyclic)
+    runs = [part2[x] for x in out2]
+    assert runs == sorted(runs) and all(part2[x] <= x for x in range(n))
+    if out is None:
+        assert any(a == b for a, b in edges) or len(edges) > 1
+
+
+def test_toposort_groups(spark):
+    nodes = spark.createDataFrame([("g", 0, "b"), ("g", 1, "a"), ("g", 2, "b"), ("h", 0, "x"), ("i", 0, "s")], "group_id string, idx int, id string")
+    edges = spark.createDataFrame([("g", "a", "b"), ("g", "zz", "a"), ("h", "x", "x"), ("g", "a", "b")], "group_id string, src string, dst string")
+    got = {(r["group_id"], r["ok"], r["id"], r["rank"], r["component"]) for r in graph.toposort(nodes, edges).collect()}
+    assert got == {("g", True, "a", 0, "b"), ("g", True, "b", 1, "b"), ("h", False, None, None, None), ("i", True, "s", 0, "s")}
+    assert {(r["id"], r["degree"]) for r in graph.in_degrees(graph.inner_edges(nodes, edges)).filter("group_id = 'g'").collect()} == {("b", 2)}
+
+
+def test_large_groups_take_the_other_path(spark):
+    ids = [f"n{k}" for k in range(200)]
+    random.Random(1).shuffle(ids)
+    nodes = spark.createDataFrame([("g", k, x) for k, x in enumerate(ids)], "group_id string, idx int, id string")
+    edges = spark.createDataFrame([("g", f"n{k}", f"n{k + 1}") for k in range(199)], "group_id string, src string, dst string")
+    rows = graph.toposort(nodes, edges).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == [f"n{k}" for k in range(200)]
+
+
+def test_natural_order(spark):
+    names = ["x.10", "x.2", "x.02", "", "x", "a\n2", "9" * 44, "18446744073709551615", "7x", "é"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k int, x string")
+    got = [r["x"] for r in df.orderBy(scalars.natural_key(F.col("x")), "k").collect()]
+    assert got == ["", "7x", "9" * 44, "18446744073709551615", "a\n2", "x", "x.2", "x.02", "x.10", "é"]
+
+
+def test_offsets_are_bytes(spark):
+    r = spark.createDataFrame([("éé key é key",)], "t string").select(scalars.byte_offset(F.col("t"), F.lit("key")).alias("a"), scalars.second_byte_offset(F.col("t"), F.lit("key")).alias("b"), scalars.byte_offset(F.col("t"), F.lit("no")).alias("c")).first()
+    assert (r["a"], r["b"], r["c"]) == (5, 12, 0)
+
+
+@pytest.mark.parametrize(
+    ("req", "version", "want"),
+    [
+        ("*", "3.0.0", True),
+        ("1.17.*", "1.17.3", True),
+        ("1.17.*", "1.18.0", False),
+        ("1.17", "1.18.0", True),
+        ("=1.17", "1.18.0", False),
+        ("~1.17.2", "1.17.9", True),
+        ("~1.17.2", "1.17.1", False),
+        ("^0.2.3", "0.3.0", False),
+        (">1.17", "1.17.5", False),
+        (">=1.2, <2", "1.9.9", True),
+        ("1.0.0", "1.0.0-rc.1", False),
+        (">=1.0.0-rc.1", "1.0.0-rc.2", True),
+        ("x.1", "1.0.0", None),
+        ("1.0.0", "1.0", None),
+    ],
+)
+def test_requirements(req, version, want):
+    assert requirements.matches(req, version) is want
+
+
+def test_latest_version(spark):
+    latest = lambda *names: versions.latest(spark.createDataFrame([(x,) for x in names], "name string")).first()["version"]
+    assert latest("1.9.0", "1.17.3.0", "public", "1.17.3-beta") == "1.17.3"
+    assert latest("none") is None
+
+
+def test_key_values(spark, tmp_path):
+    text = 'log\n"394360"\n{ "depots" { "branches" { "1.2.3" { "a" "1" } "2.0.0" { } } "x" "1" "x" "2" } }\nUnloading Steam API...'
+    data = versions.key_values_to_json(versions.slice_output(text))
+    assert data["394360"]["depots"]["x"] == ["1", "2"]
+    import json
+
+    names = versions.version_names(spark.createDataFrame([(json.dumps(data),)], "data string"))
+    assert sorted(r["name"] for r in names.collect()) == ["1.2.3", "2.0.0"]
+    at = str(tmp_path / "cache")
+    versions.write_cache(spark, at, data, now=1000)
+    fresh = lambda now: versions.read_cache(spark, at, now).count()
+    assert (fresh(1000 + 86_399), fresh(1000 + 86_400), fresh(0)) == (1, 0, 1)
+
+
+def test_first_refs_and_limit(spark):
+    refs = report.first_refs(spark.createDataFrame([(f"k{i % 12:02d}", f"p{i}", i) for i in range(24)], "key string, path string, offset long"))
+    assert refs.filter("key = 'k00'").first()["path"] == "p0"
+    dimension = spark.createDataFrame([(0, "x")], "ord int, lang string")
+    gone = report.missing(refs, dimension, spark.createDataFrame([], "lang string, key string"))
+    assert [r["key"] for r in report.top(gone).orderBy("rank").collect()] == [f"k{i:02d}" for i in range(10)]
+    assert report.summary(refs, gone).first()["hidden"] == 2
