@@ -81,36 +81,41 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(windows_of(words), covered)).cast("long")
 
 
-def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the counts that rules refer to; ``_words`` and ``_lines`` are its own and dropped."""
+def _counts(text: Column, then) -> Column:
+    """``then`` of a struct of the counts that rules refer to.
+
+    Words and lines are bound inside one expression, so the optimizer can't put
+    their definition into a lambda that runs for each of them.
+    """
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(text, F.lit(""))
     solid = lambda c: F.translate(c, BLANKS, "")
-    staged = df.withColumns(
-        {
-            "_words": F.regexp_extract_all(t, F.lit(WORD), F.lit(0)),
-            "_lines": F.filter(F.split(t, "\n"), lambda x: solid(x) != ""),
-        }
-    )
-    return staged.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length(solid(t)).cast("long"),
-            "n_symbols": (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeat_words(F.col("_words")),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(F.translate(w, MARKS, "")).isin(stop))).cast("long"),
-            "n_shouted": F.size(F.filter("_words", lambda w: (F.char_length(w) > 3) & (F.upper(w) == w) & (F.lower(w) != w))).cast("long"),
-        }
-    ).drop("_words", "_lines")
-
-
-def passes(rules: tuple[Rule, ...] = RULES) -> Column:
+
+    def of(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.char_length(solid(t)).cast("long").alias("word_chars"),
+            (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeat_words(words).alias("n_repeat_words"),
+            F.size(F.filter(words, lambda w: F.lower(F.translate(w, MARKS, "")).isin(stop))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w: (F.char_length(w) > 3) & (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_shouted"),
+        )
+
+    words = F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
+    lines = F.filter(F.split(t, "\n"), lambda x: solid(x) != "")
+    return _let(words, lambda w: _let(lines, lambda l: _let(of(w, l), then)))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_shouted")
+
+
+def passes(counts: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """The table as one boolean expression over the counts."""
     out = F.lit(True)
     for r in rules:
-        have, per = F.col(r.numerator) * 100, F.col(r.denominator)
+        have, per = counts[r.numerator] * 100, counts[r.denominator]
         if r.low is not None:
             out = out & ((per == 0) | (have >= per * r.low))
         if r.high is not None:
@@ -118,10 +123,24 @@ def passes(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
+def verdict(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts, ``base_failed`` and ``kept``: the whole table as one expression."""
+
+    def then(c: Column) -> Column:
+        base = (c["n_words"] < MIN_WORDS) | (c["n_repeat_words"] * 100 > c["n_words"] * MAX_REPEAT_PERCENT)
+        return F.struct(*(c[n].alias(n) for n in COUNTS), base.alias("base_failed"), (~base & passes(c, rules)).alias("kept"))
+
+    return _counts(text, then)
+
+
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``df`` with the counts, ``base_failed`` and ``kept``."""
-    base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return metrics(df, text).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & passes(rules))
+    return df.drop(*COUNTS, "base_failed", "kept").withColumn("_verdict", verdict(F.col(text), rules)).select("*", "_verdict.*").drop("_verdict")
+
+
+def keep(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows that pass, unchanged."""
+    return df.filter(F.coalesce(verdict(F.col(text), rules)["kept"], F.lit(False)))
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
