@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .scratch import small_batches
 from .textvec import U, buffers, chunks, mix
 
 GRAM_BYTES = 5
@@ -164,6 +165,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, profile_size: int = PROFILE_S
 
 def predict(df: DataFrame, model: BitSliced, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``."""
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -229,11 +229,11 @@ class _Join:
         self.nodes = self.scratch.table(nodes, "nodes")
 
     def columns(self) -> DataFrame:
-        """(gram, lead, last, node, n, at) of the prefix n-grams that several nodes have."""
+        """(gram, lead, last, m, node, n, at), m being the size, of the prefix n-grams that several nodes have."""
         levels = self.docs.sparkSession.sparkContext.broadcast(_levels(self.rows.filter("part is not null").select("part", "salt", "blob")))
         kind = "gram long, node long, n int, at int"
         postings = self.scratch.table(self.docs.select("text").mapInArrow(_postings(self.width, self.threshold, levels), kind), "postings")
-        leads = postings.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last")
+        leads = postings.groupBy("gram").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("m")).filter("lead <> last")
         shared = self.scratch.table(postings.join(leads, "gram"), "columns")
         self.scratch.drop(postings)
         return shared
@@ -280,18 +280,18 @@ class _Join:
 
     def second(self, shared: DataFrame, links: DataFrame) -> DataFrame:
         """Pairs of a column's last node with members apart from it; the first node met them all."""
-        named = self.named(shared, links)
+        named = self.named(shared.filter("m > 2"), links)
         last = named.filter("node = last").select("gram", F.col("comp").alias("own")).distinct()
         apart = named.filter("node <> last and node <> lead").join(last, "gram").filter("comp <> own")
         return apart.select(F.least("last", "node").alias("a"), F.greatest("last", "node").alias("b"))
 
     def rest(self, shared: DataFrame, links: DataFrame) -> DataFrame:
         """Candidate pairs that the stars left out: of neither a column's first nor its last node, and apart."""
-        named = self.named(shared, links)
-        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 <> c1 and m > 3")
+        named = self.named(shared.filter("m > 3"), links)
+        mixed = named.groupBy("gram").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
         # Columns with the same first node have much the same members, so they are cut alike and share tasks:
         # a pair that several of them hold is found once.
-        cells = named.join(mixed.select("gram", "m"), "gram")
+        cells = named.join(mixed.select("gram"), "gram")
         plan = cells.groupBy("lead").agg(F.ceil(F.max("m") / BLOCK).cast("int").alias("k"), F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
         folded = [reduce(lambda x, y: x.bitwiseXOR(y), [F.col(w) for w in BITMAP[k :: len(FOLDED)]]).alias(f) for k, f in enumerate(FOLDED)]
         cut = cells.join(plan, "lead").join(self.nodes.select("node", *folded), "node")

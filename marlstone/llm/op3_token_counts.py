@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Cuts up to this length are remembered; entries of each of two generations.
@@ -131,6 +133,7 @@ def default_path() -> str:
 def count_tokens(df: DataFrame, path: str | None = None, text: str = "text", to: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of its texts."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:

@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: Entries of the older and of the newer table of short pieces.
 REMEMBERED = 250_000
 #: Bytes of a piece beyond which it is streamed, not remembered.
@@ -209,6 +211,7 @@ def default_path() -> str:
 def encode(df: DataFrame, path: str | None = None, text: str = "text", to: str = "ids") -> DataFrame:
     """``df`` with the ids of its texts, an array of long."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<long>")
     def run(texts: pd.Series) -> pd.Series:
@@ -221,6 +224,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", to: str =
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; a null list gives an empty text."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
@@ -233,6 +237,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "
 def digests(df: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, so that no ids travel."""
     path = path or default_path()
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

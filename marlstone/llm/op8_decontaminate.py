@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textvec import U, buffers, chunks, mix, words
 
 SIMILARITY = 0.8
@@ -228,6 +229,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     from pyspark.sql import types as T
 
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.drop("contaminated", "item_ids")
     keep = out.columns
     first = True

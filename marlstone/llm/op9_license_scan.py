@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
 from .textvec import U, buffers, chunks, distinct, grams, words
 
 #: Least Dice coefficient, in hundredths.
@@ -129,6 +130,7 @@ class Templates:
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, license, score, line, licenses) of every row (doc_id, text)."""
     own = Templates(templates, threshold)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,10 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Rows and bytes of an Arrow batch: workers hold a few copies of one, and texts are long.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to ``BATCH_LIMITS``; lower ones stay."""
+    for key, most in BATCH_LIMITS.items():
+        now = int(str(spark.conf.get(key, "0")).rstrip("b") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written under one fresh folder; dropped early by ``drop`` or when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         jvm = spark.sparkContext._jvm
