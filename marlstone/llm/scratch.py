@@ -29,8 +29,8 @@ BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch limits to ``BATCH_LIMITS``; lower ones stay."""
     for key, most in BATCH_LIMITS.items():
-        now = int(str(spark.conf.get(key, "0")).rstrip("b") or 0)
-        if now <= 0 or now > most:
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
 
