@@ -51,7 +51,8 @@ class _Reader(DataSourceReader):
                 size = 0
             batches[-1].append(path)
             size += own
-        return [_Batch(b) for b in batches]
+        # Spark takes no partition at all for one without a value.
+        return [_Batch(b) for b in batches or [[]]]
 
     def read(self, partition: _Batch) -> Iterator[tuple[str, bytes]]:
         for path in partition.paths:
