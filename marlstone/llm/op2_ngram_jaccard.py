@@ -12,7 +12,8 @@ Equal sets fold into one node first, so copies never meet each other.  Then:
 1. stars: the smallest node of an n-gram's column meets the others of it, and then
    the largest those that are not yet of its component: pairs linear in the postings;
 2. pairs are discarded by size, then by a parity bitmap (the popcount of the
-   XOR is a lower bound of the symmetric difference);
+   XOR is a lower bound of the symmetric difference), which for long sets is
+   as wide as the set, as a narrow one fills up and tells nothing;
 3. the rest are verified exactly: the overlap of both sets is counted;
 4. only columns that still hold several components are multiplied out, in
    blocks of bounded size inside numpy, with position, size and bitmap bounds;
@@ -88,19 +89,30 @@ def _bitmaps(h: np.ndarray, first: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(packed[:, k])) for k in range(len(BITMAP))]
 
 
+def _wide(h: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The same for sets that would fill the columns: as many bins as members, rounded up to a power of two; else null."""
+    out: list[np.ndarray | None] = [None] * (len(first) - 1)
+    for row in np.flatnonzero(np.diff(first) > 64 * len(BITMAP)):
+        mine = h[first[row] : first[row + 1]]
+        bits = 1 << (len(mine) - 1).bit_length()
+        bins = np.bincount(((mine >> U(7)) & U(bits - 1)).astype(np.int64), minlength=bits)
+        out[row] = np.packbits((bins & 1).astype(np.uint8)).view(np.int64)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "n", *BITMAP, "part", "blob"]
+        names = ["doc_id", "node", "n", *BITMAP, "wide", "part", "blob"]
         sketch = np.zeros(1 << SKETCH_LOG2, np.uint32)
         for batch in batches:
             for lo, rows, h, first in _sets(batch.column("text"), width):
                 np.add.at(sketch, (h >> U(64 - SKETCH_LOG2)).astype(np.int64), 1)
                 none = pa.nulls(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), pa.array(_nodes(h, first).view(np.int64)), pa.array(np.diff(first)), *_bitmaps(h, first), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), pa.array(_nodes(h, first).view(np.int64)), pa.array(np.diff(first)), *_bitmaps(h, first), _wide(h, first), none.cast(pa.int32()), none.cast(pa.binary())], names)
         for part, piece in enumerate(np.split(sketch, SKETCH_ROWS)):
             if piece.any():
                 blob = zlib.compress(piece.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (3 + len(BITMAP)), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (3 + len(BITMAP)), pa.nulls(1, pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names)
 
     return run
 
@@ -216,17 +228,27 @@ def _product(threshold: int):
     return run
 
 
+def _differing(a: str, b: str):
+    """Bins in which two wide bitmaps differ, one folded to the other's width; null if one is null or over twice as wide."""
+    width = F.least(F.size(a), F.size(b))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda c: F.when(F.size(c) > width, F.zip_with(F.slice(c, F.lit(1), width), F.slice(c, width + 1, width), xor)).otherwise(F.col(c))
+    count = F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
+    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.greatest(F.size(a), F.size(b)) <= width * 2), count)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, width: int, threshold: int):
         self.docs, self.width, self.threshold = docs, width, threshold
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
 
     def scan(self) -> None:
-        kind = f"doc_id long, node long, n long, {' long, '.join(BITMAP)} long, part int, blob binary"
+        kind = f"doc_id long, node long, n long, {' long, '.join(BITMAP)} long, wide array<long>, part int, blob binary"
         self.rows = self.scratch.table(self.docs.mapInArrow(_scan(self.width), kind).withColumn("salt", F.spark_partition_id() % 64), "scan")
         self.texts = self.rows.filter("part is null").select("doc_id", "node", "n", *BITMAP)
         nodes = self.texts.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), *(F.max(w).alias(w) for w in BITMAP))
         self.nodes = self.scratch.table(nodes, "nodes")
+        self.wide = self.scratch.table(self.rows.filter("wide is not null").select("node", "wide").dropDuplicates(["node"]), "wide")
 
     def columns(self) -> DataFrame:
         """(gram, lead, last, m, node, n, at), m being the size, of the prefix n-grams that several nodes have."""
@@ -245,7 +267,11 @@ class _Join:
         need = F.ceil(F.lit(self.threshold) * (F.col("n_a") + F.col("n_b")) / (100 + self.threshold))
         differ = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in BITMAP), F.lit(0))
         size = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.threshold
-        return both.filter(size).filter(differ <= F.col("n_a") + F.col("n_b") - need * 2).select("a", "b")
+        most = F.col("n_a") + F.col("n_b") - need * 2
+        near = both.filter(size).filter(differ <= most).select("a", "b", most.alias("most"))
+        for c in ("a", "b"):
+            near = near.join(self.wide.toDF(c, f"wide_{c}"), c, "left")
+        return near.filter(F.coalesce(_differing("wide_a", "wide_b") <= F.col("most"), F.lit(True))).select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs whose counted overlap links them."""

@@ -139,6 +139,25 @@ def test_join_with_near_copies_and_odd_rows(spark, odd, monkeypatch):
     assert op2_ngram_jaccard.link(df.limit(0)).count() == 0
 
 
+def test_join_of_long_texts_around_the_threshold(spark):
+    # Sizes on both sides of the narrow bitmap's width and of a power of two, so that wide bitmaps are folded.
+    rng = random.Random(8)
+    rows = []
+    for family, size in enumerate((900, 1030, 2040, 2060, 4090)):
+        base = [f"f{family}w{k}" for k in range(size)]
+        rows.append((1000 * family, " ".join(base)))
+        for k in range(1, 14):
+            own = list(base)
+            for at in rng.sample(range(size), size * k // 400):
+                own[at] = f"x{family}y{k}z{at}"
+            own += [f"e{family}k{k}n{i}" for i in range(rng.randrange(40))]
+            rows.append((1000 * family + k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter(map(tuple, op2_ngram_jaccard.link(df).collect()))
+    assert got == brute_links(rows)
+    assert 5 < len({row[2] for row in got}) < len(rows)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)]
