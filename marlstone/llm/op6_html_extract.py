@@ -11,9 +11,10 @@ class, id and role).  A path that ``m`` pages have gets
   child sequences and ``g = 0.9``, times a prior from the names: elements called
   menus, headers, footers, sidebars, notices, adverts, forms or comments have 0.
 
-Branches of low importance are cut from each page; what is left is joined block
-by block.  If a page marks its article, nothing outside it counts, and inside
-only names cut: a passage that many articles share is content.
+Branches of low importance whose texts are shared as well (low content
+importance) are cut from each page; what is left is joined block by block.  If a
+page marks its article, nothing outside it counts; inside, the tree decides of
+blocks as it does elsewhere, and inline elements stay with their block.
 
 Each task folds its pages' counts first, and counts are plain grouped sums, so
 a host with a third of all pages is no hot spot.  The paths to cut are joined
@@ -160,7 +161,7 @@ def blocks(node: Node, cut, path: int = 0, inside: bool = False) -> list[str]:
             continue
         if what.tag != "#page":
             at = _step(at, what)
-            if not prior(what, within) or (not within and what.tag not in ARTICLES and cut(at)):
+            if not prior(what, within) or (what.tag not in ARTICLES and (not within or what.tag in BLOCKS) and cut(at)):
                 continue
         block = what.tag in BLOCKS
         if block:
@@ -176,16 +177,17 @@ def _step(path: int, node: Node) -> int:
     return xxhash.xxh64_intdigest(f"{path} {node.tag} {'.'.join(node.names)}")
 
 
-def articles(root: Node) -> list[Node]:
-    """The outermost elements that the page marks as its article."""
+def articles(root: Node) -> list[tuple[Node, int]]:
+    """The outermost elements that the page marks as its article, each with the path above it."""
     for tag in ARTICLES:
-        found, todo = [], [root]
+        found, todo = [], [(root, 0)]
         while todo:
-            x = todo.pop()
+            x, above = todo.pop()
             if x.tag == tag and prior(x, True):
-                found.append(x)
+                found.append((x, above))
             elif x.tag == "#page" or prior(x, False):
-                todo += [y for y in reversed(x.inner) if isinstance(y, Node)]
+                at = above if x.tag == "#page" else _step(above, x)
+                todo += [(y, at) for y in reversed(x.inner) if isinstance(y, Node)]
         if found:
             return found
     return []
@@ -197,7 +199,7 @@ def extract(page: str | None, cut=lambda path: False) -> str:
     root = parse(page)
     marked = articles(root)
     if marked:
-        return "\n".join(b for a in marked for b in blocks(a, cut, inside=True))
+        return "\n".join(b for a, above in marked for b in blocks(a, cut, above, inside=True))
     return "\n".join(blocks(root, cut))
 
 
@@ -300,7 +302,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, cut by its host's style tree."""
     scratch = Scratch(pages.sparkSession, "style-tree")
-    low = style_tree(pages).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
+    low = style_tree(pages).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
     low = scratch.table(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
     size = low.agg(F.sum(F.size("low") + 4)).first()[0] or 0
     if size <= BROADCAST_ROWS:

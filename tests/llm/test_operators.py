@@ -294,6 +294,15 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert 0.0 in tree and max(tree) > 0.5
 
 
+def test_style_tree_decides_inside_marked_articles(spark):
+    page = "<body><{0}><div class=x><p>Same on each page</p></div><p><b>Note:</b> own text {1}</p>{2}<div class=y>Own too {1}</div></{0}></body>"
+    rows = [(k, f"https://{tag}.org/{k}", page.format(tag, k, "<ul><li>more {}</ul>".format(k) * (k == 0))) for tag in ("article", "main") for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["url"].split("/")[2], r["page_id"]): r["text"] for r in op6_html_extract.extract_pages(df).collect()}
+    for tag in ("article", "main"):
+        assert got[f"{tag}.org", 3] == "Note: own text 3\nOwn too 3" and got[f"{tag}.org", 0] == "Note: own text 0\nmore 0\nOwn too 0"
+
+
 # 7
 
 
