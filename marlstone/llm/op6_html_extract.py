@@ -16,17 +16,19 @@ importance) are cut from each page; what is left is joined block by block.  If a
 page marks its article, nothing outside it counts; inside, the tree decides of
 blocks as it does elsewhere, and inline elements stay with their block.
 
-Each task folds its pages' counts first, and counts are plain grouped sums, so
-a host with a third of all pages is no hot spot.  The paths to cut are joined
-to the pages by host: broadcast if they are at most ``BROADCAST_ROWS``, else
-with a shuffle.
+Each of ``n`` equal pages of a host counts ``1/n``; which pages have copies is
+found by the digests of host and page, and joined to the pages.  Each task folds
+its pages' counts first, and counts are plain grouped sums, so a host with a
+third of all pages is no hot spot.  The paths to cut are joined to the pages by
+host.  Both joins broadcast at most ``BROADCAST_ROWS``, else they shuffle.
 
 Defined results: a null or empty html gives an empty text.  A null url is a
 host of its own.  Broken markup never fails: unclosed elements end with their
-parents, an unclosed comment hides the rest.  Repeated rows count as pages of
-their own and give equal texts; a host's single page has nothing to compare
-with and is cut by names alone.  Very long pages are read whole; an empty table
-gives an empty result; extra columns are ignored.
+parents, an unclosed comment hides the rest.  Equal pages of a host count as one
+page in its tree and give equal texts; ``html`` and ``body`` are never cut.  A
+host's single page has nothing to compare with and is cut by names alone.  Very
+long pages are read whole; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -66,6 +68,7 @@ BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo navigation".split()
 )
 ARTICLES = ("article", "main")
+KEPT = ("html", "body", *ARTICLES)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -133,7 +136,7 @@ def prior(node: Node, inside: bool) -> int:
     """0 for elements whose names call them boilerplate, else 1."""
     if node.tag in HIDDEN or node.tag in BOILER_TAGS or (node.tag == "header" and not inside):
         return 0
-    if node.tag in ("html", "body", *ARTICLES) and not {"comment", "comments"} & set(node.names):
+    if node.tag in KEPT and not {"comment", "comments"} & set(node.names):
         return 1
     return 0 if BOILER_NAMES & set(node.names) else 1
 
@@ -161,7 +164,7 @@ def blocks(node: Node, cut, path: int = 0, inside: bool = False) -> list[str]:
             continue
         if what.tag != "#page":
             at = _step(at, what)
-            if not prior(what, within) or (what.tag not in ARTICLES and (not within or what.tag in BLOCKS) and cut(at)):
+            if not prior(what, within) or (what.tag not in KEPT and (not within or what.tag in BLOCKS) and cut(at)):
                 continue
         block = what.tag in BLOCKS
         if block:
@@ -203,9 +206,8 @@ def extract(page: str | None, cut=lambda path: False) -> str:
     return "\n".join(blocks(root, cut))
 
 
-def host(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+def _hosts(url: str):
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
 
 
 def _signed(x: int) -> int:
@@ -256,26 +258,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded.clear()
         cols = list(zip(*(k for k, _ in rows), strict=True)) or [(), (), (), ()]
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([n for _, n in rows], pa.int64())], ["host", "path", "kind", "feature", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.array([n for _, n in rows], pa.float64())], ["host", "path", "kind", "feature", "n"])
 
     for batch in batches:
-        for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
-            text = page.as_py()
-            if not text:
+        for name, page, copies in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "copies")), strict=True):
+            if not page:
                 continue
-            name = host(url.as_py())
-            for path, style, content in styles(text):
-                folded[(name, path, 0, style)] += 1
-                folded[(name, path, 1, content)] += 1
+            share = 1 / (copies or 1)
+            for path, style, content in styles(page):
+                folded[(name, path, 0, style)] += share
+                folded[(name, path, 1, content)] += share
             if len(folded) >= FOLDED:
                 yield given()
     yield given()
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of the merged DOMs."""
-    counts = pages.select("url", "html").mapInArrow(_counts, "host string, path long, kind int, feature long, n long")
-    each = counts.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+def _with_copies(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, html, copies) of every page; ``copies`` is null for one that its host has once."""
+    rows = pages.select(_hosts("url").alias("host"), "html", F.xxhash64("html").alias("digest")).filter("html <> ''")
+    copied = scratch.table(rows.groupBy("host", "digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
+    return rows.join(copied, ["host", "digest"], "left").select("host", "html", "copies")
+
+
+def style_tree(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(host, path, pages, presentation, content, importance) of the merged DOMs of distinct pages."""
+    rows = _with_copies(pages, scratch or Scratch(pages.sparkSession, "style-tree"))
+    counts = rows.mapInArrow(_counts, "host string, path long, kind int, feature long, n double")
+    # Shares of equal pages add up to whole numbers.
+    each = counts.groupBy("host", "path", "kind", "feature").agg(F.round(F.sum("n")).cast("long").alias("n"))
     pages_of = F.sum(F.when(F.col("kind") == 0, F.col("n")))
     # With p = n / m: the entropy is log m - sum(n log n) / m; the mean of log_m(n) over texts is sum(n log n) / (m log m).
     n_log_n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") * F.log(F.col("n"))).otherwise(0.0))
@@ -302,13 +314,12 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, cut by its host's style tree."""
     scratch = Scratch(pages.sparkSession, "style-tree")
-    low = style_tree(pages).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
+    low = style_tree(pages, scratch).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
     low = scratch.table(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
     size = low.agg(F.sum(F.size("low") + 4)).first()[0] or 0
     if size <= BROADCAST_ROWS:
         low = F.broadcast(low)
-    name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST.pattern, 1))
-    rows = pages.select("page_id", "url", "html", name.alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    rows = pages.select("page_id", "url", "html", _hosts("url").alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
 

@@ -303,6 +303,20 @@ def test_style_tree_decides_inside_marked_articles(spark):
         assert got[f"{tag}.org", 3] == "Note: own text 3\nOwn too 3" and got[f"{tag}.org", 0] == "Note: own text 0\nmore 0\nOwn too 0"
 
 
+def test_style_tree_counts_copies_once(spark):
+    page = "<html><body><div class=x><p>Same on each page</p></div><div class=y><p>Own {0}</p>{1}</div></body></html>"
+    rows = [(k, url, page.format(max(k, 90), "<p>more</p>" * (k >= 90))) for k in range(100) for url in ("https://copies.org/p", None)]
+    rows += [(200, "https://equal.org/", page.format("text", ""))] * 6
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {(r["page_id"], r["url"]): r["text"] for r in op6_html_extract.extract_pages(df).collect()}
+    for url in ("https://copies.org/p", None):
+        assert got[0, url] == "Own 90" and all(got[k, url] == f"Own {k}\nmore" for k in range(90, 100))
+    assert got[200, "https://equal.org/"] == "Same on each page\nOwn text"
+    tree = op6_html_extract.style_tree(df).groupBy("host").agg(F.max("pages").alias("n")).collect()
+    assert {r["host"]: r["n"] for r in tree} == {"copies.org": 11, "": 11, "equal.org": 1}
+    assert op6_html_extract.extract("<html><body>text</body></html>", lambda path: True) == "text"
+
+
 # 7
 
 
