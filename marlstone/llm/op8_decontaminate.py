@@ -10,7 +10,13 @@ of repetitions follows from the target recall of one window.
 
 A passage's windows start at each of its words, a document's at every
 ``stride``-th; the spans are chosen so that any occurrence holds a window that
-starts at the same word on both sides.  Each collision is verified exactly: the
+starts at the same word on both sides.
+
+Passages of fewer than ``WALKED`` words have too few windows for that, and are
+found by seeds without loss: each of ``k`` edits spoils at most ``q`` of the
+``n - q + 1`` runs of ``q`` words, so rows that share fewer than
+``n - q + 1 - q * k`` of them hold no occurrence, and the others are verified
+wherever a run agrees.  Each collision is verified exactly: the
 edit distance in words between the whole passage and the closest stretch of
 the document around the collision must be at most ``1 - SIMILARITY`` of the
 passage's words.
@@ -62,8 +68,10 @@ class Span(NamedTuple):
     steps: int
 
 
+#: Passages of so many words are found by walks, shorter ones by seeds.
+WALKED = 25
 #: A passage of ``least`` words has at least ``stride`` windows, so one of them starts on the documents' grid.
-SPANS = (Span(5, 15, 5, 1, 10), Span(15, 1 << 60, 12, 4, 24))
+SPANS = (Span(WALKED, 1 << 60, 12, 4, 24),)
 
 
 def repetitions(recall: float = TARGET_RECALL, equal: float = EQUAL_STEPS, k: int = COORDINATES) -> int:
@@ -105,6 +113,15 @@ def _keys(seq: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return key
 
 
+def _runs(ids: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of ``q`` words from each word on, whatever the rows."""
+    n = max(0, len(ids) - q + 1)
+    h = np.zeros(n, U)
+    for k in range(q):
+        h = mix(h * U(0x9FB21C651E98DF25) + ids[k : n + k])
+    return h
+
+
 class Index:
     """Windows of a block of passages by their sampled words."""
 
@@ -138,6 +155,25 @@ class Index:
                     filled[keys >> top] = True
                     tables.append((steps, top, filled, keys[order], np.array(chosen)[which][order], shift[order]))
                 self.plans.append((span, seed, tables))
+        self.seeds = []
+        least = np.zeros(len(self.items), np.int64)
+        short: dict[int, list[int]] = {}
+        for k, (_, ids, most) in enumerate(self.items):
+            if len(ids) < WALKED:
+                # The longest runs of two or three words that ``most`` edits cannot spoil all.
+                q = next((q for q in (3, 2) if len(ids) - q + 1 - q * most > 0), 1)
+                least[k] = max(1, len(ids) - q + 1 - q * most)
+                short.setdefault(q, []).append(k)
+        self.least = least
+        for q, chosen in short.items():
+            runs = [_runs(self.items[k][1], q) for k in chosen]
+            keys = np.concatenate(runs)
+            order = np.argsort(keys, kind="stable")
+            top = U(64 - max(12, int(len(keys) * 16).bit_length()))
+            filled = np.zeros(1 << int(64 - top), bool)
+            filled[keys >> top] = True
+            item, shift = np.repeat(chosen, [len(r) for r in runs]), np.concatenate([np.arange(len(r)) for r in runs])
+            self.seeds.append((q, top, filled, keys[order], item[order], shift[order]))
         self.masks = []
         for _, ids, _ in self.items:
             masks: dict[int, int] = {}
@@ -167,10 +203,41 @@ class Index:
             best = min(best, score)
         return best
 
+    def seeded(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(row, passage, where it would begin) of the rows that share enough runs with a short passage."""
+        out = [np.zeros((0, 3), np.int64)]
+        for q, top, filled, keys, item, shift in self.seeds:
+            key = _runs(ids, q)
+            hit = np.flatnonzero(filled.take((key >> top).view(np.int64)))
+            lo, hi = np.searchsorted(keys, key[hit], "left"), np.searchsorted(keys, key[hit], "right")
+            row = np.searchsorted(first, hit, "right") - 1
+            times = np.where(hit + q <= first[row + 1], hi - lo, 0)
+            at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+            row, begin = np.repeat(row, times), np.repeat(hit, times) - shift[at]
+            if not len(at):
+                continue
+            pair = row * len(self.items) + item[at]
+            shared = np.unique(np.stack([pair, shift[at]], axis=1), axis=0)[:, 0]
+            name, count = np.unique(shared, return_counts=True)
+            use = count[np.searchsorted(name, pair)] >= self.least[item[at]]
+            out.append(np.unique(np.stack([row[use], item[at][use], begin[use]], axis=1), axis=0))
+        return np.concatenate(out)
+
     def matches(self, ids: np.ndarray, first: np.ndarray) -> list[set[int]]:
         """Passages found in each row of words."""
         found: list[set[int]] = [set() for _ in range(len(first) - 1)]
         tried: set[tuple[int, int, int]] = set()
+
+        def verify(r: int, k: int, begin: int) -> None:
+            size, most = len(self.items[k][1]), self.items[k][2]
+            # A part within `most` edits that is aligned here begins and ends within `most` words of the passage.
+            stretch = ids[max(int(first[r]), begin - most) : min(int(first[r + 1]), begin + size + 2 * most)]
+            if self.closest(k, stretch.tolist()) <= most:
+                found[r].add(k)
+
+        for r, k, begin in self.seeded(ids, first).tolist():
+            if k not in found[r]:
+                verify(r, k, begin)
         symbols = _symbols(ids, first)
         for span, seed, tables in self.plans:
             # One grid for all rows: a walk may run into the next row, but the check stays within its own.
@@ -187,11 +254,7 @@ class Index:
                         if k in found[r] or (r, k, begin) in tried:
                             continue
                         tried.add((r, k, begin))
-                        size, most = len(self.items[k][1]), self.items[k][2]
-                        # A part within `most` edits that is aligned here begins and ends within `most` words of the passage.
-                        stretch = ids[max(int(first[r]), begin - most) : min(int(first[r + 1]), begin + size + 2 * most)]
-                        if self.closest(k, stretch.tolist()) <= most:
-                            found[r].add(k)
+                        verify(r, k, begin)
         return found
 
 

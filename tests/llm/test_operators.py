@@ -387,6 +387,23 @@ def test_decontamination_recall_after_edits(spark):
     assert hits >= 0.95 * len(items)
 
 
+def test_decontamination_recall_at_the_limit_by_length():
+    rng = random.Random(11)
+    for n in (*range(5, 33), 40, 60):
+        items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for k in range(300)]
+        texts = []
+        for k, (_, t) in enumerate(items):
+            w = t.split()
+            for _ in range(int(0.2 * n + 1e-9)):
+                kind, at = rng.randrange(3) if k % 2 else 0, rng.randrange(len(w))
+                w[at : at + (kind != 1)] = [] if kind == 2 else [f"q{rng.randrange(99)}"]
+            texts.append(" ".join([f"z{rng.randrange(9)}" for _ in range(rng.randrange(30))] + w + ["tail"] * rng.randrange(9)))
+        w = words(*buffers(pa.array(texts)))
+        got = op8_decontaminate.Index(items).matches(w.ids, w.first)
+        recall = sum(k in g for k, g in enumerate(got)) / len(items)
+        assert recall == 1 if n < op8_decontaminate.WALKED else recall >= 0.99, (n, recall)
+
+
 def test_decontamination_odd_rows(spark, odd, monkeypatch):
     benchmark = spark.createDataFrame([(5, "one two three four five"), (4, "one two three four five"), (6, None), (7, "a b"), (None, "three four five six x")], "item_id long, text string")
     for most in (20_000, 2):
