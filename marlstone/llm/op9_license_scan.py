@@ -1,19 +1,25 @@
 """License scans: Dice coefficient over word bigrams, with size bounds.
 
 Texts and templates are normalised alike: ASCII lower-case, punctuation to
-blanks, words apart by blanks.  Units are each line of a text and the whole
-text.  A unit with ``a`` distinct bigrams can reach ``2 * both / (a + b) >= t``
+blanks, words apart by blanks.  Units are each line of a text, the whole text,
+and every window of words, across line breaks.  A unit with ``a`` distinct bigrams can reach ``2 * both / (a + b) >= t``
 with a template of ``b`` only if ``t / (2 - t) <= a / b <= (2 - t) / t``; those
 bounds come first, and only units that pass them for some template are compared.
 The comparison is in integers, so no rounding decides.
 
+Windows need not be tried all: a text must share as many bigrams with the
+template as its smallest unit has, the best window begins with a shared bigram
+that it has once, and it ends before its other bigrams are more than
+``(2 - 2 * t) / t`` of the template's.
+
 The templates are a parameter of fixed size; documents are read once and never
 shuffled.
 
 Defined results: texts that are null, empty or have no unit of two words match
 nothing (``license`` null, ``score`` 0, no ``licenses``).  Of equal scores the
 first name in alphabetical order is ``license``.  ``line`` is the first line
-with that score, from 0, or -1 for the whole text.  Rows are judged alone, so
+with that score, from 0 (of a window, the line it begins in), or -1 for the whole
+text.  Rows are judged alone, so
 repeats and empty tables need no care; very long texts are read whole; extra
 columns are ignored.
 """
@@ -77,6 +83,7 @@ class Templates:
         of = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(self.gram, kind="stable")
         self.gram, self.of = self.gram[order], of[order]
+        self.sets = [set(s.tolist()) for s in sets]
         # Sizes that some template allows.
         self.least = -(-threshold * self.sizes // (200 - threshold))
         self.most = (200 - threshold) * self.sizes // threshold
@@ -106,6 +113,61 @@ class Templates:
         score = 20000 * both // np.maximum(a + b, 1)
         return list(zip(u[ok].tolist(), t[ok].tolist(), score[ok].tolist(), strict=True))
 
+    def windows(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, template, hundredths of a percent, byte of its first word) of the best window of words, if at or above the threshold."""
+        w = words(_FOLD[data], offs)
+        h, row = grams(w, 2, whole_if_short=False)
+        lo, hi = np.searchsorted(self.gram, h, "left"), np.searchsorted(self.gram, h, "right")
+        hit = np.flatnonzero(lo < hi)
+        lo, times = lo[hit], (hi - lo)[hit]
+        at = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+        # An entry of the templates is one bigram of one template.
+        entry = np.unique(np.repeat(row[hit], times) * len(self.gram) + at)
+        cell, both = np.unique(entry // max(len(self.gram), 1) * len(self.names) + self.of[entry % max(len(self.gram), 1)], return_counts=True)
+        cell = cell[both >= self.least[cell % len(self.names)]]
+        first, out = np.searchsorted(row, np.arange(len(offs))), []
+        have, own, after = -1, [], []
+        for r, t in zip((cell // len(self.names)).tolist(), (cell % len(self.names)).tolist(), strict=True):
+            if r != have:
+                have, own = r, h[first[r] : first[r + 1]].tolist()
+                after, last = [len(own)] * len(own), {}
+                for i in range(len(own) - 1, -1, -1):
+                    after[i] = last.get(own[i], len(own))
+                    last[own[i]] = i
+            score, begin = self._best(own, after, t)
+            if begin >= 0:
+                out.append((r, t, score, int(w.start[w.first[r] + begin])))
+        return out
+
+    def _best(self, own: list[int], after: list[int], t: int) -> tuple[int, int]:
+        """Score and begin of the first best window; -1 without one."""
+        wanted, size, best, begin = self.sets[t], int(self.sizes[t]), 0, -1
+        most = (200 - 2 * self.threshold) * size // self.threshold
+        for i, g in enumerate(own):
+            if g not in wanted:
+                continue
+            seen, both, other = set(), 0, 0
+            # A window that has its first bigram again is no better than without its first word.
+            for j in range(i, after[i]):
+                x = own[j]
+                if x in seen:
+                    continue
+                seen.add(x)
+                if x in wanted:
+                    both += 1
+                    total = both + other + size
+                    if 200 * both >= self.threshold * total and 20000 * both // total > best:
+                        best, begin = 20000 * both // total, i
+                    if both == size:
+                        break
+                else:
+                    other += 1
+                    if other > most:
+                        break
+            if best == 10000:
+                break
+        return best, begin
+
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[dict]:
         """For each row: its best license, score and line, and all licenses found."""
         rows = len(offs) - 1
@@ -120,6 +182,8 @@ class Templates:
             found[r].append((-s, self.names[t], u - int(begin[r])))
         for r, t, s in self.units(data, offs) if len(data) else []:
             found[r].append((-s, self.names[t], -1))
+        for r, t, s, byte in self.windows(data, offs) if len(data) else []:
+            found[r].append((-s, self.names[t], int(np.searchsorted(lines, byte, "right")) - 1 - int(begin[r])))
         out = []
         for f in found:
             first = min(f, key=lambda x: (x[0], x[1], x[2] < 0, x[2])) if f else None

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -441,6 +442,39 @@ def test_license_scan(spark, odd):
     assert op9_license_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_license_scan_finds_wrapped_notices_and_sentences(spark):
+    def wrapped(text, lead=""):
+        return "\n".join(lead + x for x in textwrap.wrap(text, 60))
+
+    want = [(name, t) for name, ts in op9_license_scan.TEMPLATES.items() for t in ts]
+    rows = [f"Some own words here.\n\n{wrapped(t, lead)}\n" + "More words of a document {}.\n".format(k) * 40 for k, (_, t) in enumerate(want) for lead in ("", "# ", " * ")]
+    rows += ["A line that says much. Released under the MIT License. And it goes on with more words.", "Licensed under CC\nBY 4.0\n" * 3000, "under cc by 4\n" * 3000 + "licensed", "of the software to use the words " * 3000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9_license_scan.scan(df).collect()}
+    for k in range(3 * len(want)):
+        assert want[k // 3][0] in got[k]["licenses"] and got[k]["score"] == 1 and got[k]["line"] == 2, rows[k]
+    n = 3 * len(want)
+    assert (got[n]["license"], got[n]["score"], got[n]["line"]) == ("MIT", 1.0, 0) and got[n + 1]["license"] == "CC-BY-4.0" and got[n + 3]["license"] is None
+
+
+def test_license_windows_match_brute_force():
+    rng = random.Random(5)
+    own = op9_license_scan.Templates({"A": ["a b c d e f"], "B": ["c d a b", "a a b b c"]})
+    for _ in range(300):
+        text = "\n".join(" ".join(rng.choice("abcdefx") for _ in range(rng.randrange(6))) for _ in range(4))
+        got = {(t, s) for _, t, s, _ in own.windows(*buffers(pa.array([text])))} if text.strip() else set()
+        w, want = text.split(), set()
+        for t, x in enumerate(["a b c d e f", "c d a b", "a a b b c"]):
+            b, best = set(zip(x.split(), x.split()[1:], strict=False)), 0
+            for i in range(len(w)):
+                for j in range(i + 2, len(w) + 1):
+                    a = set(zip(w[i:j], w[i + 1 : j], strict=False))
+                    if 200 * len(a & b) >= 80 * (len(a) + len(b)):
+                        best = max(best, 20000 * len(a & b) // (len(a) + len(b)))
+            want |= {(t, best)} if best else set()
+        assert got == want
+
+
 # 10
 
 
