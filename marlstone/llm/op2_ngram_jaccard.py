@@ -183,7 +183,9 @@ def _sets_of(width: int):
             for lo, rows, h, first in _sets(batch.column("text"), width):
                 node, to = _nodes(h, first).view(np.int64), target[lo : lo + rows]
                 ask = wanted[lo : lo + rows]
-                fresh = ((ask == node) | (ask == 0)) & _first_seen(mix(node.view(U)) ^ to.view(U), seen)
+                # Only what is sent counts as seen: a text also meets the requests for others of its id.
+                fresh = (ask == node) | (ask == 0)
+                fresh[fresh] = _first_seen((mix(node.view(U)) ^ to.view(U))[fresh], seen)
                 sets = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(node), sets], ["target", "node", "grams"]).filter(pa.array(fresh))
 

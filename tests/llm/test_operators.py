@@ -140,6 +140,19 @@ def test_join_with_near_copies_and_odd_rows(spark, odd, monkeypatch):
     assert op2_ngram_jaccard.link(df.limit(0)).count() == 0
 
 
+def test_join_of_near_copies_that_share_an_id(spark):
+    texts = ["a b c d e f", "g h i j k l"]
+    own = [r["node"] for r in next(op2_ngram_jaccard._sets_of(4)(iter([pa.record_batch({"text": texts, "node": pa.array([0, 0]), "target": pa.array([1, 1])})]))).to_pylist()]
+    # Both texts have the id, so each meets the other's request first.
+    asked = pa.record_batch({"text": [texts[0], texts[0], texts[1], texts[1]], "node": pa.array([own[1], own[0], own[0], own[1]]), "target": pa.array([7] * 4)})
+    assert [r["node"] for b in op2_ngram_jaccard._sets_of(4)(iter([asked])) for r in b.to_pylist()] == own
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k // 4, " ".join(base[:at] + [f"n{k}"] + base[at + 1 :])) for k in range(40) for at in [rng.randrange(120)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(map(tuple, op2_ngram_jaccard.link(df).collect())) == brute_links(rows)
+
+
 def test_join_of_long_texts_around_the_threshold(spark):
     # Sizes on both sides of the narrow bitmap's width and of a power of two, so that wide bitmaps are folded.
     rng = random.Random(8)
