@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("m").alias("x"), F.col("b").alias("y"))).toDF("a", "b")
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node with an edge; component is the smallest node.
 
     ``edges`` has longs ``a`` and ``b`` without nulls; order, repeats and loops don't matter.
@@ -39,16 +39,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = mark(now)
-    for _ in range(most_rounds):
-        if not seen[0]:
-            break
+    # Ends: each round but the last lowers some node's label.
+    while seen[0]:
         nxt = scratch.table(_small_star(_large_star(now).distinct()).distinct(), "stars")
         scratch.drop(now)
         now, got = nxt, mark(nxt)
         if got == seen:
             break
         seen = got
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

@@ -126,7 +126,6 @@ def test_join_matches_brute_force(spark, docs):
 def test_join_with_near_copies_and_odd_rows(spark, odd, monkeypatch):
     # Small blocks, so that long columns are cut and meet pairwise.
     monkeypatch.setattr(op2_ngram_jaccard, "BLOCK", 8)
-    monkeypatch.setattr(op2_ngram_jaccard, "CELL_ROWS", 50)
     rng = random.Random(4)
     base = [f"w{rng.randrange(500)}" for _ in range(90)]
     rows = list(ODD)
@@ -136,16 +135,50 @@ def test_join_with_near_copies_and_odd_rows(spark, odd, monkeypatch):
             own[rng.randrange(90)] = f"n{rng.randrange(1000)}"
         rows.append((100 + k, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert collections.Counter(map(tuple, op2_ngram_jaccard.link(df).collect())) == brute_links(rows)
+    # Names of four bits are those of several sets, which their checks tell apart.
+    for bits in (64, 4):
+        assert collections.Counter(map(tuple, op2_ngram_jaccard.link(df, name_bits=bits).collect())) == brute_links(rows)
     assert op2_ngram_jaccard.link(df.limit(0)).count() == 0
 
 
+def test_join_of_a_large_family_around_the_threshold(spark, monkeypatch):
+    # Most pairs miss the threshold by little, a few reach it, and hardly any with the lead.
+    monkeypatch.setattr(op2_ngram_jaccard, "BLOCK", 300)
+    monkeypatch.setattr(op2_ngram_jaccard, "TASK_SHINGLES", 5_000)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(110)]
+    rows = []
+    for k in range(1000):
+        own = list(base)
+        for at in rng.sample(range(110), 2):
+            own[at] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found, run = [], op2_ngram_jaccard._Join.run
+    monkeypatch.setattr(op2_ngram_jaccard._Join, "run", lambda self: found.append(run(self)) or found[-1])
+    want = brute_links(rows)
+    assert collections.Counter(map(tuple, op2_ngram_jaccard.link(df).collect())) == want
+    # A forest for each pair of blocks, not the links.
+    assert 0 < found[0][0].count() < 8 * len(rows)
+    assert 20 < len({row[2] for row in want}) < 900
+
+
+def test_overlaps_are_those_of_the_sets(monkeypatch):
+    monkeypatch.setattr(op2_ngram_jaccard, "PANEL_GRAMS", 7)
+    rng = random.Random(13)
+    sets = [sorted(rng.sample(range(60), rng.randrange(30))) for _ in range(40)]
+    own = op2_ngram_jaccard._Incidence(np.array([x for s in sets for x in s]), np.cumsum([0, *map(len, sets)]))
+    i, j = np.arange(5, 40), np.arange(0, 40, 3)
+    assert own.overlaps(i, j).tolist() == [[len(set(sets[a]) & set(sets[b])) for b in j] for a in i]
+
+
 def test_join_of_near_copies_that_share_an_id(spark):
     texts = ["a b c d e f", "g h i j k l"]
-    own = [r["node"] for r in next(op2_ngram_jaccard._sets_of(4)(iter([pa.record_batch({"text": texts, "node": pa.array([0, 0]), "target": pa.array([1, 1])})]))).to_pylist()]
+    sent = op2_ngram_jaccard._sets_of(4, op2_ngram_jaccard._Names())
+    own = [r["node"] for r in next(sent(iter([pa.record_batch({"text": texts, "node": pa.array([0, 0]), "target": pa.array([1, 1])})]))).to_pylist()]
     # Both texts have the id, so each meets the other's request first.
     asked = pa.record_batch({"text": [texts[0], texts[0], texts[1], texts[1]], "node": pa.array([own[1], own[0], own[0], own[1]]), "target": pa.array([7] * 4)})
-    assert [r["node"] for b in op2_ngram_jaccard._sets_of(4)(iter([asked])) for r in b.to_pylist()] == own
+    assert [r["node"] for b in op2_ngram_jaccard._sets_of(4, op2_ngram_jaccard._Names())(iter([asked])) for r in b.to_pylist()] == own
     rng = random.Random(6)
     base = [f"w{k}" for k in range(120)]
     rows = [(k // 4, " ".join(base[:at] + [f"n{k}"] + base[at + 1 :])) for k in range(40) for at in [rng.randrange(120)]]
