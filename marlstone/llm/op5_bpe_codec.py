@@ -1,23 +1,33 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
+Splitting.  A text is cut into pieces by the published rule, slab by slab: a piece
+is taken once it ends ``PEEK`` characters before the slab's end, the furthest that
+the rule looks, and the next slab goes on behind it.
+
 Encoding.  A merge at the right end of a token can only be prevented or caused
 by merges of lower rank to its right, which in turn depend on still lower ranks
 further right.  ``sufficient_lookahead`` follows those chains through the merge
-list and returns how many bytes beyond a token settle it.  The transducer holds
-one window: it merges the window's bytes, emits every token that ends at least
-that many bytes before the window's end, and goes on from the last one emitted.
-That is right since a token sequence's suffix from any token boundary is itself
-the encoding of its text.  Memory is constant however long a piece without
-blanks is.  Short pieces are remembered in a table of bounded size.
+list and returns how many bytes beyond a token settle it.  The transducer reads a
+piece's bytes chunk by chunk into one window, merges it, emits every token that
+ends at least that many bytes before the window's end, and goes on from the last
+one emitted.  That is right since a token sequence's suffix from any token boundary
+is itself the encoding of its text.  Every id comes from the transducer; what it
+gave for a short piece is remembered in a table of bounded size.
 
 Decoding.  Ids become bytes, and an incremental decoder turns them into text
 block by block; a character cut by a block's end waits for its rest, and bytes
 that are no UTF-8 become U+FFFD as in the usual lossy decoding.
 
+Beside the text itself, which its row holds, memory is constant: ids go to the
+digest and to the decoder in blocks of ``BLOCK_BYTES`` or so, whatever the text's
+length and however long a piece without blanks is.  Only ``encode`` and ``decode``
+hold a row's ids, as they return them.
+
 Defined results: a null text is encoded as an empty one (no ids).  Special
 tokens found in a text become their ids.  Rows are handled alone, so repeats,
-ties and empty tables need no care; extra columns pass through ``encode`` and
-``decode`` unless their names clash with the result's.
+ties and empty tables need no care; very long texts are read whole; extra columns
+pass through ``encode`` and ``decode``, and one that is named as the result is
+replaced by it.  ``digests`` gives its four columns alone.
 """
 
 from __future__ import annotations
@@ -26,8 +36,10 @@ import codecs
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,9 +52,13 @@ from .scratch import small_batches
 
 #: Entries of the older and of the newer table of short pieces.
 REMEMBERED = 250_000
-#: Bytes of a piece beyond which it is streamed, not remembered.
+#: Characters of a piece beyond which it isn't remembered.
 SHORT = 48
-IDS_PER_BLOCK = 1 << 16
+#: Characters split at once, and how far the splitting rule looks beyond a piece.
+SLAB = 1 << 16
+PEEK = 3
+#: Bytes of packed ids handed on at once, about.
+BLOCK_BYTES = 1 << 18
 
 # White space, and letters and numbers below U+0250, as character classes.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -60,8 +76,23 @@ _LATIN = re.compile(_pattern(LATIN_LETTERS, LATIN_NUMBERS))
 _ANY = regex.compile(_pattern(r"\p{L}", r"\p{N}"))
 
 
-def pieces(text: str) -> list[str]:
-    return (_ANY if _BEYOND_LATIN.search(text) else _LATIN).findall(text)
+def pieces(text: str, start: int = 0, end: int | None = None) -> Iterator[list[str] | tuple[int, int]]:
+    """The pieces of a part of the text, slab by slab; a longer one comes alone, as the place where it begins and ends."""
+    rule = _ANY if _BEYOND_LATIN.search(text, start) else _LATIN
+    end = len(text) if end is None else end
+    while start < end:
+        stop = min(start + SLAB, end)
+        found = rule.findall(text, start, stop)
+        if stop < end:
+            # The last pieces may look different with what follows.
+            while found and stop > min(start + SLAB, end) - PEEK:
+                stop -= len(found.pop())
+            if not found:
+                stop = rule.match(text, start, end).end()
+                yield start, stop
+        if found:
+            yield found
+        start = stop
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -114,12 +145,17 @@ class Merges:
                 ranks[at - 1] = rank_of(ids[at - 1] << 32 | ids[at], none)
         return ids
 
-    def stream(self, data: bytes) -> Iterator[int]:
-        """The tokens of one piece, each given out as soon as it is settled."""
-        start, n = 0, len(data)
-        while start < n:
-            window = data[start : start + self.window]
-            settled = n - start if start + len(window) >= n else len(window) - self.lookahead
+    def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
+        """The tokens of one piece, each given out as soon as it is settled; the piece's bytes come in chunks."""
+        rest, held, ended = iter(chunks), b"", False
+        while not ended or held:
+            while not ended and len(held) <= self.window:
+                more = next(rest, None)
+                ended = more is None
+                held += more or b""
+            whole = ended and len(held) <= self.window
+            window = held[: self.window]
+            settled = len(window) if whole else len(window) - self.lookahead
             end = 0
             for token in self.merged(window):
                 size = len(self.text[token])
@@ -127,7 +163,7 @@ class Merges:
                     break
                 end += size
                 yield token
-            start += end
+            held = held[end:]
 
 
 def sufficient_lookahead(m: Merges) -> int:
@@ -158,10 +194,9 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         got = self.old.get(piece)
         if got is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            if len(data) > SHORT:
-                return np.fromiter(self.merges.stream(data), "<u4").tobytes()
-            got = np.array(self.merges.merged(data), "<u4").tobytes()
+            got = np.fromiter(self.merges.stream((piece.encode("utf-8", "surrogatepass"),)), "<u4").tobytes()
+            if len(piece) > SHORT:
+                return got
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -172,31 +207,70 @@ class _Known(dict):
 class Codec:
     def __init__(self, merges: Merges):
         self.merges, self.known = merges, _Known(merges)
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
+        self.cut = re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
+
+    def _parts(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """(begin, end, id) of the special tokens and, without id, of what lies between."""
+        at = 0
+        for m in self.cut.finditer(text) if self.cut else ():
+            yield at, m.start(), None
+            yield m.start(), m.end(), self.merges.special[m[0]]
+            at = m.end()
+        yield at, len(text), None
+
+    def blocks(self, text: str | None) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, block by block."""
+        if not text:
+            return
+        known, done, size = self.known, [], 0
+        for begin, end, special in self._parts(text):
+            if special is not None:
+                done.append(struct.pack("<I", special))
+                continue
+            for found in pieces(text, begin, end):
+                if isinstance(found, list):
+                    done.append(b"".join([known[p] for p in found]))
+                else:
+                    ids = self.merges.stream(text[k : min(k + SLAB, found[1])].encode("utf-8", "surrogatepass") for k in range(*found, SLAB))
+                    for some in iter(lambda: np.fromiter(islice(ids, BLOCK_BYTES // 4), "<u4").tobytes(), b""):
+                        yield b"".join(done)
+                        done, size = [some], 0
+                size += len(done[-1])
+                if size >= BLOCK_BYTES:
+                    yield b"".join(done)
+                    done, size = [], 0
+        yield b"".join(done)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        known = self.known
-        if self.cut is None or not self.cut.search(text):
-            return b"".join([known[p] for p in pieces(text)])
-        out = []
-        for part in self.cut.split(text):
-            special = self.merges.special.get(part)
-            out.append(np.array([special], "<u4").tobytes() if special is not None else b"".join([known[p] for p in pieces(part)]))
-        return b"".join(out)
-
-    def decode(self, ids: bytes) -> Iterator[str]:
-        """Text, block by block."""
+        """All ids of a text."""
+        return b"".join(self.blocks(text))
+
+    def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
+        """Text, block by block of ids."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         text = self.merges.text
-        for lo in range(0, len(ids), 4 * IDS_PER_BLOCK):
-            block = np.frombuffer(ids[lo : lo + 4 * IDS_PER_BLOCK], "<u4").tolist()
-            yield machine.decode(b"".join([text[i] for i in block]))
+        for block in blocks:
+            for lo in range(0, len(block), BLOCK_BYTES):
+                yield machine.decode(b"".join([text[i] for i in np.frombuffer(block[lo : lo + BLOCK_BYTES], "<u4").tolist()]))
         yield machine.decode(b"", True)
 
 
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number and SHA-256 of the ids, and of the text decoded from them; a block goes on before the next is made."""
+        of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
+
+        def noted() -> Iterator[bytes]:
+            nonlocal n
+            for block in self.blocks(text):
+                of_ids.update(block)
+                n += len(block) // 4
+                yield block
+
+        for part in self.decode(noted()):
+            of_text.update(part.encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
 @lru_cache(1)
 def codec(path: str) -> Codec:
     return Codec(Merges.from_json(path))
@@ -229,7 +303,7 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", to: str = "
     @F.pandas_udf("string")
     def run(lists: pd.Series) -> pd.Series:
         c = codec(path)
-        return pd.Series(["" if x is None else "".join(c.decode(np.asarray(x).astype("<u4").tobytes())) for x in lists])
+        return pd.Series(["" if x is None else "".join(c.decode((np.asarray(x).astype("<u4").tobytes(),))) for x in lists])
 
     return df.withColumn(to, run(F.col(ids)))
 
@@ -244,13 +318,10 @@ def digests(df: DataFrame, path: str | None = None, text: str = "text", doc_id:
         for batch in batches:
             count, ids_sum, text_sum = [], [], []
             for t in batch.column(1):
-                ids = c.encode(t.as_py())
-                count.append(len(ids) // 4)
-                ids_sum.append(hashlib.sha256(ids).hexdigest())
-                seen = hashlib.sha256()
-                for block in c.decode(ids):
-                    seen.update(block.encode())
-                text_sum.append(seen.hexdigest())
+                n, of_ids, of_text = c.digest(t.as_py())
+                count.append(n)
+                ids_sum.append(of_ids)
+                text_sum.append(of_text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sum, pa.string()), pa.array(text_sum, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

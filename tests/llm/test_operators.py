@@ -302,14 +302,74 @@ def test_bpe_streams_long_pieces(library):
     for t in cases:
         ids = codec.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
-        assert "".join(codec.decode(ids)) == t
+        assert "".join(codec.decode([ids])) == t
     cut = np.array([library.token_to_id("Ã")], "<u4").tobytes()
-    assert "".join(codec.decode(cut)) == library.decode([library.token_to_id("Ã")], skip_special_tokens=False)
+    assert "".join(codec.decode([cut])) == library.decode([library.token_to_id("Ã")], skip_special_tokens=False)
+
+
+def test_bpe_splits_slab_by_slab(library, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(("'re", "'", "r", "e", "'s", " ", "  ", "\n", "ab", "12", "é", "日", ".", "=" * 9, "x" * 40)) for _ in range(200)) for _ in range(60)]
+    texts += ["a" * 500 + "<|endoftext|>" + " " * 300 + "b", "é" * 300, "日本" * 200]
+    for slab in (4, 7, 32):
+        monkeypatch.setattr(op5_bpe_codec, "SLAB", slab)
+        monkeypatch.setattr(op5_bpe_codec, "BLOCK_BYTES", 64)
+        codec = op5_bpe_codec.Codec(op5_bpe_codec.codec(op5_bpe_codec.default_path()).merges)
+        for t in texts:
+            want = library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(codec.encode(t), "<u4").tolist() == want
+            assert codec.digest(t) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_bpe_windows_settle_like_the_whole(library):
+    # The least window that the lookahead allows, so that tokens leave it early.
+    merges = op5_bpe_codec.codec(op5_bpe_codec.default_path()).merges
+    rng, wide = random.Random(10), merges.window
+    try:
+        merges.window = merges.lookahead + merges.longest + 1
+        for a in ("ab", "the", "éèü", "日本語ab", "=-", " "):
+            for _ in range(8):
+                data = "".join(rng.choice(a) for _ in range(900)).encode()
+                assert list(merges.stream([data[k : k + 13] for k in range(0, len(data), 13)])) == merges.merged(data)
+    finally:
+        merges.window = wide
+
+
+def test_bpe_ids_all_come_from_the_transducer(docs, monkeypatch):
+    merges = op5_bpe_codec.codec(op5_bpe_codec.default_path()).merges
+    given = {}
+
+    def noted(chunks, stream=merges.stream):
+        data = b"".join(chunks)
+        given[data] = list(stream([data]))
+        return iter(given[data])
+
+    monkeypatch.setattr(merges, "stream", noted)
+    codec = op5_bpe_codec.Codec(merges)
+    for r in docs.collect():
+        t = r["text"] or ""
+        ids = np.frombuffer(codec.encode(t), "<u4").tolist()
+        want = [i for found in op5_bpe_codec.pieces(t) for p in (found if isinstance(found, list) else [t[slice(*found)]]) for i in given[p.encode()]]
+        assert ids == want
+
+
+def test_bpe_memory_does_not_grow_with_the_text():
+    import tracemalloc
+
+    codec, peaks = op5_bpe_codec.Codec(op5_bpe_codec.codec(op5_bpe_codec.default_path()).merges), []
+    for size in (1, 5):
+        text = "some words of a text, again and again. " * (10_000 * size) + "=" * (70_000 * size)
+        tracemalloc.start()
+        codec.digest(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + (1 << 20)
 
 
 def test_bpe_columns(spark, odd):
-    df = op5_bpe_codec.decode(op5_bpe_codec.encode(odd))
-    assert all(r["decoded"] == (r["text"] or "") for r in df.collect())
+    df = op5_bpe_codec.decode(op5_bpe_codec.encode(odd.withColumn("ids", F.lit("clash"))))
+    assert all(r["decoded"] == (r["text"] or "") and r["kept"] == "clash" for r in df.collect())
+    assert op5_bpe_codec.digests(odd.withColumn("n_tokens", F.lit("clash")).limit(0)).count() == 0
 
 
 # 6
