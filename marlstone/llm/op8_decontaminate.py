@@ -6,7 +6,9 @@ gives out the current symbol and moves on if a random bit of (step, symbol) is s
 Two windows at small edit distance get sequences at small Hamming distance,
 since walks that were pushed apart by an edit meet again.  A repetition samples
 ``COORDINATES`` steps; windows whose sampled symbols agree collide.  The number
-of repetitions follows from the target recall of one window.
+of repetitions follows from the target recall of one window and from the share of
+equal steps that walks over windows at the edit limit have, which ``equal_steps``
+measures.
 
 A passage's windows start at each of its words, a document's at every
 ``stride``-th; the spans are chosen so that any occurrence holds a window that
@@ -21,40 +23,47 @@ edit distance in words between the whole passage and the closest stretch of
 the document around the collision must be at most ``1 - SIMILARITY`` of the
 passage's words.
 
-The documents are read once per block of passages and never shuffled.  A block
-has at most ``BLOCK_ITEMS`` passages of at most ``BLOCK_BYTES`` together, which
-bounds what is broadcast; more passages mean more blocks.
+A block has at most ``BLOCK_ITEMS`` passages of at most ``BLOCK_BYTES`` together,
+which bounds what the driver gathers and what is broadcast.  One block is searched
+in one pass that marks the documents.  More blocks are a stage each, one after the
+other; each writes what it found by the digest of the text, and in the end those
+marks are joined to the documents.
 
 Defined results: each row of documents gives one row, repeated ones included.
-Null or empty texts are clean.  Passages that are null or have fewer than
-``MIN_ITEM_WORDS`` words identify nothing and are ignored; equal passages are
-all reported.  Item ids come sorted; a passage without an id can mark a
-document but isn't listed.  Empty tables give no or only clean rows.  Long
-texts are read whole; extra columns are ignored, or kept by ``clean``.
+Null or empty texts are clean.  Passages that are null or have no word identify
+nothing and are ignored; one of up to four words is found where it occurs word for
+word, as no edit is allowed it, and ``least_words`` leaves out shorter ones; equal
+passages are all reported.  Item ids come sorted; a passage without an id can mark
+a document but isn't listed.  Empty tables give no or only clean rows.  Very long
+texts are read whole.  Extra columns pass through; ``find`` replaces those named as
+its two, ``clean`` none.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import Scratch, free_name, small_batches
 from .textvec import U, buffers, chunks, mix, words
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
-#: Share of equal steps that a window of a passage at the limit is taken to have.
-EQUAL_STEPS = 0.4
 COORDINATES = 2
-MIN_ITEM_WORDS = 5
+#: Pairs of windows that a share of equal steps is measured on.
+MEASURED = 4000
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
+#: Marked texts sent to all executors at most; beyond that they are joined with a shuffle.
+BROADCAST_MARKS = 200_000
 SEED = 0x51ED270B
 
 
@@ -74,10 +83,6 @@ WALKED = 25
 SPANS = (Span(WALKED, 1 << 60, 12, 4, 24),)
 
 
-def repetitions(recall: float = TARGET_RECALL, equal: float = EQUAL_STEPS, k: int = COORDINATES) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - equal**k))
-
-
 def walk(symbols: np.ndarray, start: np.ndarray, steps: int, seed: int) -> np.ndarray:
     """CGK sequences, a column for each window; walks that run past the last symbol read zeros."""
     coins = np.concatenate([mix(symbols ^ U(seed)), np.zeros(steps, U)])
@@ -89,6 +94,40 @@ def walk(symbols: np.ndarray, start: np.ndarray, steps: int, seed: int) -> np.nd
     return out
 
 
+@lru_cache(64)
+def equal_steps(span: Span, similarity: float = SIMILARITY, pairs: int = MEASURED) -> np.ndarray:
+    """For pairs of a window and its edited copy, at the edit limit: the share of steps at which their walks agree.
+
+    Windows of random words; edits are substitutions, insertions and deletions alike.
+    """
+    rng = np.random.default_rng(SEED)
+    share = (1 - similarity) * span.words
+    most = math.ceil(share)
+    size = span.words + most + span.steps
+    sides: list[list[np.ndarray]] = [[], []]
+    for _ in range(pairs):
+        own = rng.integers(1, 1 << 63, size, dtype=np.uint64)
+        copy = own.tolist()
+        for at in rng.integers(0, span.words, int(share + rng.random())).tolist():
+            kind = int(rng.integers(0, 3))
+            copy[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 63))]
+        sides[0].append(own)
+        sides[1].append(np.array((copy + [0] * most)[:size], U))
+    first = np.arange(pairs + 1) * size
+    a, b = (walk(_symbols(np.concatenate(x), first), first[:-1], span.steps, SEED) for x in sides)
+    return (a == b).mean(axis=0)
+
+
+@lru_cache(64)
+def repetitions(span: Span, recall: float = TARGET_RECALL, similarity: float = SIMILARITY, k: int = COORDINATES) -> int:
+    """The least number that finds the target share of occurrences, whose windows on the grid each may collide."""
+    windows = max(1, (span.least - span.words + 1) // span.stride)
+    lost, reps = 1 - equal_steps(span, similarity) ** k, 1
+    while (lost**reps).mean() ** windows > 1 - recall:
+        reps += 1
+    return reps
+
+
 def _samples(span: Span, seed: int, reps: int) -> np.ndarray:
     """Steps of each repetition: one out of each equal part of the walk, so that they show different symbols."""
     rng = np.random.default_rng(seed)
@@ -125,14 +164,13 @@ def _runs(ids: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """Windows of a block of passages by their sampled words."""
 
-    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, walks: int = 2):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, walks: int = 2, least_words: int = 1):
         self.items, self.plans = [], []
         for item_id, text in items:
             raw = text.encode()
             w = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            if len(w.ids) >= MIN_ITEM_WORDS:
+            if len(w.ids) >= max(1, least_words):
                 self.items.append((item_id, w.ids, int((1 - similarity) * len(w.ids) + 1e-9)))
-        reps = max(1, math.ceil(repetitions() / walks))
         for span in SPANS:
             chosen = [k for k, (_, ids, _) in enumerate(self.items) if span.least <= len(ids) < span.below]
             if not chosen:
@@ -143,6 +181,7 @@ class Index:
             start = np.concatenate([base[i] + np.arange(n - span.words + 1) for i, n in enumerate(sizes)])
             which = np.repeat(np.arange(len(chosen)), sizes - span.words + 1)
             shift = start - base[which]
+            reps = max(1, math.ceil(repetitions(span, similarity=similarity) / walks))
             for v in range(walks):
                 seed = SEED + 7919 * v + span.words
                 seq = walk(ids, start, span.steps, seed)
@@ -258,11 +297,13 @@ class Index:
         return found
 
 
-def _search(index):
+def _search(index, text: str, hit: str, items: str, only_hits: bool):
+    """Rows with what was found in their text; ``only_hits`` leaves out the text and the rows without any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            data, offs = buffers(batch.column("text"))
+            data, offs = buffers(batch.column(text))
             out: list[list[int]] = []
             marked: list[bool] = []
             for lo, hi in chunks(offs):
@@ -271,48 +312,60 @@ def _search(index):
                     names = {own.items[k][0] for k in got}
                     out.append(sorted(x for x in names if x is not None))
                     marked.append(bool(got))
-            rest = batch.select([c for c in batch.schema.names if c not in ("_items", "_hit")])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.list_(pa.int64())), pa.array(marked, pa.bool_())], [*rest.schema.names, "_items", "_hit"])
+            rest = batch.select([c for c in batch.schema.names if c != text]) if only_hits else batch
+            found = pa.RecordBatch.from_arrays([*rest.columns, pa.array(marked, pa.bool_()), pa.array(out, pa.list_(pa.int64()))], [*rest.schema.names, hit, items])
+            yield found.filter(found.column(hit)) if only_hits else found
 
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """Passages in blocks of bounded number and size."""
+def _blocks(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[int | None, str]]]]:
+    """Number of blocks, and the passages of each, bounded in number and size."""
     items = benchmark.filter(F.col("text").isNotNull())
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-(n or 0) // (BLOCK_ITEMS // 2)), -(-(size or 0) // (BLOCK_BYTES // 2)))
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield [(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()]
 
+    def each() -> Iterator[list[tuple[int | None, str]]]:
+        for b in range(blocks):
+            part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+            yield [(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()]
 
-def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with ``contaminated`` and the sorted ``item_ids`` of the passages found."""
-    from pyspark.sql import types as T
+    return blocks, each()
 
+
+def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = 1, hit: str = "contaminated", items: str = "item_ids") -> DataFrame:
+    """``docs`` with ``contaminated`` and the sorted ``item_ids`` of the passages found."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.drop("contaminated", "item_ids")
-    keep = out.columns
-    first = True
-    for items in _blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(items, similarity))
-        kind = T.StructType([*out.select(*keep).schema.fields, T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_hit", T.BooleanType())])
-        before = out.select(*keep) if first else out
-        if first:
-            out = before.mapInArrow(_search(index), kind).withColumnsRenamed({"_items": "item_ids", "_hit": "contaminated"})
-        else:
-            wide = T.StructType([*before.schema.fields, *kind.fields[-2:]])
-            got = before.mapInArrow(_search(index), wide)
-            out = got.withColumn("item_ids", F.array_sort(F.array_union("item_ids", "_items"))).withColumn("contaminated", F.col("contaminated") | F.col("_hit")).drop("_items", "_hit")
-        first = False
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    docs = docs.drop(hit, items)
+    more = f"{hit} boolean, {items} array<long>"
+    blocks, each = _blocks(benchmark)
+    if blocks == 1:
+        index = spark.sparkContext.broadcast(Index(next(each), similarity, least_words=least_words))
+        kind = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(more).fields])
+        return docs.mapInArrow(_search(index, "text", hit, items, False), kind)
+    scratch, found = Scratch(spark, "decontaminate"), None
+    key = free_name(docs, "digest")
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    for passages in each:
+        index = spark.sparkContext.broadcast(Index(passages, similarity, least_words=least_words))
+        texts = docs.select(digest.alias(key), F.col("text").alias("text"))
+        now = scratch.table(texts.mapInArrow(_search(index, "text", hit, items, True), f"{key} string, {more}").dropDuplicates([key]), "found")
+        index.destroy()
+        found = now if found is None else found.unionByName(now)
+    marks = found.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    marks = scratch.table(marks, "marks")
+    if marks.count() <= BROADCAST_MARKS:
+        marks = F.broadcast(marks)
+    marked = docs.withColumn(key, digest).join(marks.withColumn(hit, F.lit(True)), key, "left")
+    none = F.array().cast("array<long>")
+    return marked.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias(hit), F.coalesce(items, none).alias(items))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = 1) -> DataFrame:
     """The rows of ``docs`` in which no passage is found."""
-    return find(docs, benchmark, similarity).filter(~F.col("contaminated")).select(*docs.columns)
+    hit, items = free_name(docs, "contaminated"), free_name(docs, "item_ids")
+    return find(docs, benchmark, similarity, least_words, hit, items).filter(~F.col(hit)).select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

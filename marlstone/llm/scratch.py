@@ -73,3 +73,11 @@ class Scratch:
 
 def empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).head(1)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -453,25 +453,23 @@ def test_quality_keeps_the_good_ones(spark, docs):
 
 
 def edit(a, b):
-    row = [0] * (len(b) + 1)
+    """Least edit distance of ``a`` and any stretch of ``b``, both of word ids."""
+    row = np.zeros(len(b) + 1, np.int64)
+    step = np.arange(len(b) + 1)
     for x in a:
-        new = [row[0] + 1]
-        for k, y in enumerate(b):
-            new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
-        row = new
-    return min(row)
+        new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (b != x), row[1:] + 1)])
+        row = np.minimum.accumulate(new - step) + step
+    return row.min()
 
 
 def test_decontamination(spark, docs):
-    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    ids = collections.defaultdict(lambda: len(ids))
+    items = {r["item_id"]: np.array([ids[x] for x in split(r["text"])]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     got = {r["doc_id"]: r for r in op8_decontaminate.op8_decontaminate(spark, SF).collect()}
     found = 0
     for r in docs.collect():
-        w, want = split(r["text"]), []
-        for i, t in items.items():
-            p = split(t)
-            if len(set(zip(p, p[1:], strict=False)) & set(zip(w, w[1:], strict=False))) >= 3 and edit(p, w) <= int(0.2 * len(p)):
-                want.append(i)
+        w = np.array([ids[x] for x in split(r["text"])])
+        want = [i for i, p in items.items() if edit(p, w) <= int(0.2 * len(p))]
         found += len(want)
         assert got[r["doc_id"]]["item_ids"] == sorted(want) and got[r["doc_id"]]["contaminated"] == bool(want)
     assert found
@@ -496,7 +494,7 @@ def test_decontamination_recall_after_edits(spark):
 
 def test_decontamination_recall_at_the_limit_by_length():
     rng = random.Random(11)
-    for n in (*range(5, 33), 40, 60):
+    for n in (*range(1, 33), 40, 60):
         items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for k in range(300)]
         texts = []
         for k, (_, t) in enumerate(items):
@@ -512,12 +510,18 @@ def test_decontamination_recall_at_the_limit_by_length():
 
 
 def test_decontamination_odd_rows(spark, odd, monkeypatch):
-    benchmark = spark.createDataFrame([(5, "one two three four five"), (4, "one two three four five"), (6, None), (7, "a b"), (None, "three four five six x")], "item_id long, text string")
-    for most in (20_000, 2):
+    benchmark = spark.createDataFrame([(5, "one two three four five"), (4, "one two three four five"), (6, None), (8, ""), (7, "z b"), (9, "A b"), (None, "three four five six x")], "item_id long, text string")
+    clash = odd.withColumns({"item_ids": F.lit("own"), "contaminated": F.lit("own"), "_items": F.lit("own"), "digest": F.lit("own")})
+    for most, marks in ((20_000, 9), (2, 9), (2, 0)):
         monkeypatch.setattr(op8_decontaminate, "BLOCK_ITEMS", most)
-        rows = op8_decontaminate.find(odd, benchmark).collect()
-        assert len(rows) == len(ODD)
-        assert {r["doc_id"] for r in rows if r["contaminated"]} == {1, None} and all(r["item_ids"] == ([4, 5] if r["contaminated"] else []) for r in rows)
+        monkeypatch.setattr(op8_decontaminate, "BROADCAST_MARKS", marks)
+        rows = op8_decontaminate.find(clash, benchmark).collect()
+        assert len(rows) == len(ODD) and all(r["_items"] == r["digest"] == "own" for r in rows)
+        want = {1: [4, 5], None: [4, 5], 6: [9], 5: [9], 9: [9]}
+        assert all(r["item_ids"] == want.get(r["doc_id"], []) and r["contaminated"] == (r["doc_id"] in want) for r in rows)
+        assert {r["doc_id"] for r in op8_decontaminate.find(odd, benchmark, least_words=3).collect() if r["contaminated"]} == {1, None}
+        kept = op8_decontaminate.clean(clash, benchmark)
+        assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 7, 8} and all(r["contaminated"] == r["item_ids"] == "own" for r in kept.collect())
     assert op8_decontaminate.clean(odd, benchmark.limit(0)).count() == len(ODD)
     assert op8_decontaminate.find(odd.limit(0), benchmark).count() == 0
 
