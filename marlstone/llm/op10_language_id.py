@@ -6,17 +6,22 @@ n-gram's words ANDed together are the bitmask of all languages that contain it.
 A text's popcount per language is corrected for the filter's false positives,
 ``(hits - n * fp) / (1 - fp)``, and the largest decides.
 
-Fitting reads a bounded sample of labelled rows: the ``fit_rows`` rows of each
-language whose hash of the id comes first, and of those the ``profile_size``
-n-grams found in most rows.  Both bounds are parameters.  What the driver holds
-is ``languages * profile_size`` hashes; the filter sent to executors has a fixed
-``2 ** slots_log2`` words.
+Fitting reads a bounded sample of labelled rows: of each language's distinct
+(doc_id, text) the ``fit_rows`` whose hash comes first.  A threshold on the hash,
+from the language's number of rows, leaves a few times as many to rank, so no task
+gets a language whole; a language whose rows are mostly repeats may give fewer.
+``fit_rows`` is the only bound on rows, and of those the n-grams in at least
+``least_share`` of a language's rows make its filter.  The driver holds these
+n-grams; the filter sent to executors has a fixed ``2 ** slots_log2`` words for each
+64 languages.
 
 Defined results: a text that is null, empty or without any letter is ``und``
 with score 0.  Ties go to the first language in alphabetical order.  With no
 labelled row at all, or an empty table, each text is ``und``.  Very long texts
-are read whole.  Repeated rows get equal results; extra columns pass through
-``predict`` unless their names clash with its two.
+are read whole.  Repeated rows get equal results and count once in the fit; so do
+rows that share an id, if their texts are equal.  Extra columns pass through
+``predict``, which replaces those named as its two, and through ``keep``, which
+replaces none.
 """
 
 from __future__ import annotations
@@ -30,12 +35,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .scratch import small_batches
+from .scratch import free_name, small_batches
 from .textvec import U, buffers, chunks, mix
 
 GRAM_BYTES = 5
+#: Distinct labelled rows of a language that a fit reads at most, and how many times as many are ranked.
 FIT_ROWS = 400
-PROFILE_SIZE = 6000
+RANKED = 4
+#: Least share of these rows that an n-gram of the filter is in.
+LEAST_SHARE = 0.005
 SLOTS_LOG2 = 18
 HASHES = 3
 UNKNOWN = "und"
@@ -125,9 +133,9 @@ class BitSliced:
         return langs, scores
 
 
-def _profile(profile_size: int):
+def _profile(least_share: float):
     def of_language(table: pa.Table) -> pa.Table:
-        """The n-grams that most rows contain; ties by hash."""
+        """The n-grams that enough rows contain."""
         lang = table.column("lang")[0].as_py()
         seen = np.zeros(0, U)
         times = np.zeros(0, np.int64)
@@ -143,39 +151,59 @@ def _profile(profile_size: int):
             every, inverse = np.unique(np.concatenate([seen, got]), return_inverse=True)
             times = np.bincount(inverse, weights=np.concatenate([times, n]), minlength=len(every)).astype(np.int64)
             seen = every
-        top = np.lexsort((seen, -times))[:profile_size]
-        top = top[times[top] > (1 if table.num_rows > 10 else 0)]
-        return pa.table({"lang": pa.array([lang] * len(top), pa.string()), "gram": pa.array(seen[top].view(np.int64))})
+        top = seen[times >= least_share * table.num_rows]
+        return pa.table({"lang": pa.array([lang] * len(top), pa.string()), "gram": pa.array(top.view(np.int64))})
 
     return of_language
 
 
-def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, profile_size: int = PROFILE_SIZE) -> BitSliced:
+def sample(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(lang, text) of at most ``fit_rows`` distinct rows (doc_id, text, lang) of each language."""
+    own = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    # A row for each language: a bound that does not grow with the rows.
+    share = own.groupBy("lang").agg((F.lit(float(RANKED * fit_rows)) / F.count("*")).alias("share"))
+    drawn = own.join(F.broadcast(share), "lang").filter((F.col("key") / F.lit(2.0**64) + 0.5) < F.col("share"))
+    # Keys fold in each task before they move; RANKED * fit_rows of a language are left, about.
+    first = Window.partitionBy("lang").orderBy("key")
+    keys = drawn.select("lang", "key").distinct().withColumn("at", F.row_number().over(first)).filter(F.col("at") <= fit_rows).select("lang", "key")
+    return own.join(F.broadcast(keys), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"]).select("lang", "text")
+
+
+def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE) -> BitSliced:
     """The filters, from rows (doc_id, text, lang) whose lang is known."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    # Only ids and labels are ranked, each task keeping fit_rows of a language; the texts of the chosen follow.
-    ids = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(first)).filter(F.col("at") <= fit_rows)
-    # At most fit_rows rows a language: a bound that does not grow with the input.
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text")
-    got = sample.groupBy("lang").applyInArrow(_profile(profile_size), "lang string, gram long").toArrow()
+    got = sample(rows, fit_rows).groupBy("lang").applyInArrow(_profile(least_share), "lang string, gram long").toArrow()
     langs, grams = np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy()
     return BitSliced({x: grams[langs == x].view(U) for x in dict.fromkeys(langs.tolist())})
 
 
-def predict(df: DataFrame, model: BitSliced, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``."""
-    small_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def _classified(spark: SparkSession, model: BitSliced, text: str):
+    """struct(lang, score) as a column."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, score double")
     def classify(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
         langs, scores = sent.value.classify([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": langs, "score": scores})
+        return pd.DataFrame({"lang": langs, "score": scores})
+
+    return classify(F.col(text))
+
+
+def predict(df: DataFrame, model: BitSliced, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``df`` with the language and the score."""
+    got = free_name(df, "told")
+    told = df.withColumn(got, _classified(df.sparkSession, model, text))
+    rest = [c for c in df.columns if c not in (lang, score)]
+    return told.select(*rest, F.col(got)["lang"].alias(lang), F.col(got)["score"].alias(score))
+
 
-    return df.drop("lang_pred", "score").withColumn("_c", classify(F.col(text))).select("*", "_c.*").drop("_c")
+def keep(df: DataFrame, model: BitSliced, least_score: float, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a language, with at least that score."""
+    got = free_name(df, "told")
+    told = df.withColumn(got, _classified(df.sparkSession, model, text))
+    return told.filter((F.col(got)["lang"] != UNKNOWN) & (F.col(got)["score"] >= least_score)).select(*df.columns)
 
 
 def held_out(doc_id: str = "doc_id"):
