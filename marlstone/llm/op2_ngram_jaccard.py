@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch, empty
+from .scratch import Scratch, empty, free_name
 from .textvec import U, buffers, chunks, distinct, grams, mix, words
 
 WIDTH = 4
@@ -119,19 +119,20 @@ def _wide(h: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _scan(width: int, names_of: _Names):
+def _scan(width: int, names_of: _Names, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "node", "check", "n", *BITMAP, "wide", "part", "blob"]
+        names = [*carried, "node", "check", "n", *BITMAP, "wide", "part", "blob"]
         sketch = np.zeros(1 << SKETCH_LOG2, np.uint32)
         for batch in batches:
+            own = batch.select(carried)
             for lo, rows, h, first in _sets(batch.column("text"), width):
                 np.add.at(sketch, (h >> U(64 - SKETCH_LOG2)).astype(np.int64), 1)
                 none = pa.nulls(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, rows), pa.array(names_of(h, first).view(np.int64)), pa.array(names_of.checks(h, first).view(np.int64)), pa.array(np.diff(first)), *_bitmaps(h, first), _wide(h, first), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*own.slice(lo, rows).columns, pa.array(names_of(h, first).view(np.int64)), pa.array(names_of.checks(h, first).view(np.int64)), pa.array(np.diff(first)), *_bitmaps(h, first), _wide(h, first), none.cast(pa.int32()), none.cast(pa.binary())], names)
         for part, piece in enumerate(np.split(sketch, SKETCH_ROWS)):
             if piece.any():
                 blob = zlib.compress(piece.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * (4 + len(BITMAP)), pa.nulls(1, pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in own.columns), *[pa.nulls(1, pa.int64())] * (3 + len(BITMAP)), pa.nulls(1, pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names)
 
     return run
 
@@ -358,14 +359,16 @@ def _differing(a: str, b: str):
 
 class _Join:
     def __init__(self, docs: DataFrame, width: int, threshold: int, name_bits: int = 64):
-        self.docs, self.width, self.threshold = docs, width, threshold
+        self.all, self.docs, self.width, self.threshold = docs, docs.select("doc_id", "text"), width, threshold
+        self.carried = [c for c in docs.columns if c != "text"]
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
         self.names = _Names(name_bits)
 
     def scan(self) -> None:
-        kind = f"doc_id long, node long, check long, n long, {' long, '.join(BITMAP)} long, wide array<long>, part int, blob binary"
-        self.rows = self.scratch.table(self.docs.mapInArrow(_scan(self.width, self.names), kind).withColumn("salt", F.spark_partition_id() % 64), "scan")
-        self.texts = self.rows.filter("part is null").select("doc_id", "node", "check", "n", *BITMAP, "wide")
+        kind = f"node long, check long, n long, {' long, '.join(BITMAP)} long, wide array<long>, part int, blob binary"
+        kind = ", ".join([*(f"{c} {self.all.schema[c].dataType.simpleString()}" for c in self.carried), kind])
+        self.rows = self.scratch.table(self.all.mapInArrow(_scan(self.width, self.names, self.carried), kind).withColumn("salt", F.spark_partition_id() % 64), "scan")
+        self.texts = self.rows.filter("part is null").select(*self.carried, "node", "check", "n", *BITMAP, "wide")
         self.nodes = self.folded()
         # Very few names are expected to be those of several sets: one pair in 2**64.
         clash = [r["node"] for r in self.nodes.filter("low <> high").select("node").collect()]
@@ -477,16 +480,36 @@ class _Join:
         return links, connected_components(links, self.scratch)
 
 
-def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id", name_bits: int = 64) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_shingles, component_id."""
-    join = _Join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), width, threshold, name_bits)
+def link(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id", name_bits: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, n_shingles, component_id, and the columns to carry along."""
+    own = [F.col(c).alias(f"_{k}") for k, c in enumerate(carry)]
+    join = _Join(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own), width, threshold, name_bits)
     _, parts = join.run()
     named = join.nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("node", "component", "doc_id")
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = join.scratch.table(named.join(ids, "component").select("node", "component_id"), "members")
+    of_node = join.scratch.table(named.join(ids, "component").select("node", "component", "component_id"), "members")
     out = join.texts.join(of_node, "node", "left")
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    shown = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), shown.alias("component_id"), *(F.col(f"_{k}").alias(c) for k, c in enumerate(carry)), *([F.col("component").alias("class")] if carry else []))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with one document of each component, and all rows without words.
+
+    It is the one with the smallest id (rows without an id come last), and of equal ids the
+    smallest digest of id and text.  Rows that share an id but not the text are documents
+    of their own; of rows that share both, one stays.
+    """
+    key = free_name(docs, "digest")
+    digest = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")))
+    keyed = docs.withColumn(key, digest)
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    parts = link(keyed, width, threshold, carry=(key,)).filter("n_shingles > 0")
+    # Grouped minimum, folded in each task first: a component with a third of all rows is one row a task.
+    first = parts.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)).alias("first")).select(F.col("first")[key].alias(key))
+    # Repeats fold in each task before the texts move, by the same key as the join.
+    kept = keyed.filter(has_words).dropDuplicates([key]).join(first.distinct(), key, "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(~has_words))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -595,8 +595,39 @@ def test_language_on_held_out(spark, docs):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in rows) >= 0.95 * len(rows)
 
 
+def test_language_filters_match_plain_sets(spark, docs):
+    rows = docs.filter(~op10_language_id.held_out()).select("doc_id", "text", "lang").distinct().collect()
+    hashed = lambda t: op10_language_id._grams(*buffers(pa.array(op10_language_id._letters([t]), pa.large_string())))[0].tolist()
+    times, size = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        times[r["lang"]].update(set(hashed(r["text"])))
+        size[r["lang"]] += 1
+    known = {x: {g for g, n in c.items() if n >= op10_language_id.LEAST_SHARE * size[x]} for x, c in times.items()}
+    model = op10_language_id.fit(docs.filter(~op10_language_id.held_out()))
+    assert model.languages == sorted(known) and max(size.values()) < op10_language_id.FIT_ROWS
+    for at, x in enumerate(model.languages):
+        mine = (model.masks(np.array(sorted(known[x]), np.uint64), 0) >> np.uint64(at)) & np.uint64(1)
+        others = np.array(sorted(set().union(*known.values()) - known[x]), np.uint64)
+        wrong = ((model.masks(others, 0) >> np.uint64(at)) & np.uint64(1)).mean()
+        assert mine.all() and abs(wrong - model.false_rate[at]) < 0.005
+    for r in docs.filter("length(text) > 40").collect():
+        own = hashed(r["text"])
+        plain = {x: sum(g in k for g in own) / len(own) for x, k in known.items()}
+        (lang,), (score,) = model.classify([r["text"]])
+        assert abs(score - max(plain.values())) < 0.03 and plain[lang] > max(plain.values()) - 0.03
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(1, f"text {k}", "en") for k in range(3000)] + [(2, "copy", "en")] * 3000 + [(k, f"texte {k}", "fr") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = collections.Counter(r["lang"] for r in op10_language_id.sample(df, 100).collect())
+    assert got == {"en": 100, "fr": 30}
+
+
 def test_language_odd_rows(spark, odd, docs):
     model = op10_language_id.fit(docs)
+    kept = op10_language_id.keep(odd.withColumn("told", F.lit("own")), model, 0.0)
+    assert kept.columns == [*odd.columns, "told"] and kept.filter("told <> 'own' or score <> 0").count() == 0
     rows = {r["doc_id"]: r for r in op10_language_id.predict(odd, model).collect()}
     assert rows[2]["lang_pred"] == rows[3]["lang_pred"] == rows[4]["lang_pred"] == "und" and rows[2]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in rows.values())
