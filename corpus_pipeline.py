@@ -5,14 +5,13 @@ columns of ``documents``; the last one returns the encoded digests.  ``run``
 writes each stage's rows to the shared folder and reads them again, which cuts
 lineage and survives lost executors.
 
-Extra columns pass through every stage but the last.  Null or empty texts go in
-the first stage, which asks for words; empty tables stay empty.
+Extra columns pass through every stage but the last, whatever their names.  Null or
+empty texts go in the first stage, which asks for words; empty tables stay empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import op2_ngram_jaccard as near
 from marlstone.llm import op5_bpe_codec as bpe
@@ -35,21 +34,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.filter(~language.held_out()))
     if not model.languages:
         return docs
-    told = language.predict(docs, model)
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language.keep(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id.
-
-    Rows without words are in no component and all stay, as do rows without an id.
-    """
-    parts = near.link(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
-    stay = parts.filter((F.col("_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("_id").distinct()
-    bare = parts.filter((F.col("n_shingles") == 0) & F.col("_id").isNotNull()).select("_id").distinct()
-    kept = docs.join(stay.unionByName(bare).distinct(), docs["doc_id"] == F.col("_id"), "left_semi")
-    # Rows that share an id are copies too, whatever their texts.
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """One document of each component of near copies, the one with the smallest id; rows without words all stay."""
+    return near.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
