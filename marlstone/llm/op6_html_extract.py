@@ -9,12 +9,15 @@ class, id and role).  A path that ``m`` pages have gets
   ``d`` of the pages share has ``log_m d`` (a text of its own gives 0);
 * both combined as ``(1 - g**l) * presentation + g**l * content`` for ``l``
   child sequences and ``g = 0.9``, times a prior from the names: elements called
-  menus, headers, footers, sidebars, notices, adverts, forms or comments have 0.
+  menus, headers, footers, sidebars, notices, adverts, forms or comments have 0,
+  and inside a marked article those whose names only hint at one (``HINTS``, or one
+  word of a longer name, as in ``notice-board``) have 0.5.
 
 Branches of low importance whose texts are shared as well (low content
-importance) are cut from each page; what is left is joined block by block.  If a
-page marks its article, nothing outside it counts; inside, the tree decides of
-blocks as it does elsewhere, and inline elements stay with their block.
+importance) are cut from each page; a hint doubles what counts as low.  What is
+left is joined block by block.  If a page marks its article, nothing outside it
+counts; inside, the tree decides of blocks as it does elsewhere, and inline
+elements stay with their block.
 
 Each of ``n`` equal pages of a host counts ``1/n``; which pages have copies is
 found by the digests of host and page, and joined to the pages.  Each task folds
@@ -26,7 +29,7 @@ Defined results: a null or empty html gives an empty text.  A null url is a
 host of its own.  Broken markup never fails: unclosed elements end with their
 parents, an unclosed comment hides the rest.  Equal pages of a host count as one
 page in its tree and give equal texts; ``html`` and ``body`` are never cut.  A
-host's single page has nothing to compare with and is cut by names alone.  Very
+path on fewer than ``LEAST_PAGES`` distinct pages is judged by names alone.  Very
 long pages are read whole; an empty table gives an empty result; extra columns
 are ignored.
 """
@@ -48,6 +51,7 @@ from .scratch import Scratch
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
+#: Distinct pages that a path must be on: fewer tell too little of what a host repeats, near copies of an article least of all.
 LEAST_PAGES = 4
 BROADCAST_ROWS = 200_000
 #: Counts that a task folds before it hands them on.
@@ -67,20 +71,26 @@ BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo navigation".split()
 )
+#: Of these, names that an article's own content may have too.
+HINTS = frozenset("banner header legal login masthead search share sharing skip social toolbar widget widgets".split())
 ARTICLES = ("article", "main")
 KEPT = ("html", "body", *ARTICLES)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PLAIN = re.compile(r"[A-Za-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("tag", "names", "inner")
+    """An element; ``names`` are the words of its class, id and role, ``tokens`` the words of each of these names."""
 
-    def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names = tag, names
+    __slots__ = ("tag", "names", "tokens", "inner")
+
+    def __init__(self, tag: str, tokens: tuple[tuple[str, ...], ...] = ()):
+        self.tag, self.tokens = tag, tokens
+        self.names = tuple(dict.fromkeys(x for t in tokens for x in t))
         self.inner: list[Node | str] = []
 
 
@@ -111,8 +121,8 @@ def parse(text: str) -> Node:
             _close(stack, {"p"})
         if tag in CLOSES:
             _close(stack, CLOSES[tag])
-        words = [w for f in _NAMES.finditer(m[3]) for w in re.sub(r"([a-z])([A-Z])", r"\1 \2", f[2] or f[3] or f[4] or "").split()] if m[3] else []
-        node = Node(tag, tuple(dict.fromkeys(x.lower() for w in words for x in _PLAIN.findall(w))))
+        names = [w for f in _NAMES.finditer(m[3]) for w in (f[2] or f[3] or f[4] or "").split()] if m[3] else []
+        node = Node(tag, tuple(tuple(x.lower() for x in _PLAIN.findall(_CAMEL.sub(r"\1 \2", w))) for w in names))
         stack[-1].inner.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(text, at)
@@ -132,17 +142,21 @@ def _close(stack: list[Node], tags: set[str]) -> None:
             return
 
 
-def prior(node: Node, inside: bool) -> int:
-    """0 for elements whose names call them boilerplate, else 1."""
+def prior(node: Node, inside: bool) -> float:
+    """0 for elements whose names call them boilerplate, 0.5 for a hint inside an article, else 1."""
     if node.tag in HIDDEN or node.tag in BOILER_TAGS or (node.tag == "header" and not inside):
         return 0
     if node.tag in KEPT and not {"comment", "comments"} & set(node.names):
         return 1
-    return 0 if BOILER_NAMES & set(node.names) else 1
+    if not BOILER_NAMES & set(node.names):
+        return 1
+    if not inside:
+        return 0
+    return 0 if any(t and BOILER_NAMES.issuperset(t) and not HINTS.issuperset(t) for t in node.tokens) else 0.5
 
 
 def blocks(node: Node, cut, path: int = 0, inside: bool = False) -> list[str]:
-    """Texts of the blocks that stay, in page order; ``cut`` tells of a path whether it goes."""
+    """Texts of the blocks that stay, in page order; ``cut`` tells of a path and a prior whether it goes."""
     out: list[str] = []
     line: list[str] = []
 
@@ -164,7 +178,8 @@ def blocks(node: Node, cut, path: int = 0, inside: bool = False) -> list[str]:
             continue
         if what.tag != "#page":
             at = _step(at, what)
-            if not prior(what, within) or (what.tag not in KEPT and (not within or what.tag in BLOCKS) and cut(at)):
+            weight = prior(what, within)
+            if not weight or (what.tag not in KEPT and (not within or what.tag in BLOCKS) and cut(at, weight)):
                 continue
         block = what.tag in BLOCKS
         if block:
@@ -196,7 +211,7 @@ def articles(root: Node) -> list[tuple[Node, int]]:
     return []
 
 
-def extract(page: str | None, cut=lambda path: False) -> str:
+def extract(page: str | None, cut=lambda path, weight: False) -> str:
     if not page:
         return ""
     root = parse(page)
@@ -304,9 +319,9 @@ def style_tree(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for page, low in zip(batch.column("html"), batch.column("low"), strict=True):
-            gone = {x & ((1 << 64) - 1) for x in low.as_py() or ()}
-            texts.append(extract(page.as_py(), gone.__contains__))
+        for page, low, hinted in zip(batch.column("html"), batch.column("low"), batch.column("hinted"), strict=True):
+            gone, also = ({x & ((1 << 64) - 1) for x in paths.as_py() or ()} for paths in (low, hinted))
+            texts.append(extract(page.as_py(), lambda path, weight, gone=gone, also=also: path in gone or weight < 1 and path in also))
         rest = batch.select(["page_id", "url"])
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], ["page_id", "url", "text", "n_chars"])
 
@@ -314,12 +329,14 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, cut by its host's style tree."""
     scratch = Scratch(pages.sparkSession, "style-tree")
-    low = style_tree(pages, scratch).filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("content") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
-    low = scratch.table(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
-    size = low.agg(F.sum(F.size("low") + 4)).first()[0] or 0
+    most = F.greatest("importance", "content")
+    low = style_tree(pages, scratch).filter((most < 2 * LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
+    sets = [F.collect_set(F.when(most < LEAST_IMPORTANCE, F.col("path"))).alias("low"), F.collect_set(F.when(most >= LEAST_IMPORTANCE, F.col("path"))).alias("hinted")]
+    low = scratch.table(low.groupBy("host").agg(*sets), "low")
+    size = low.agg(F.sum(F.size("low") + F.size("hinted") + 4)).first()[0] or 0
     if size <= BROADCAST_ROWS:
         low = F.broadcast(low)
-    rows = pages.select("page_id", "url", "html", _hosts("url").alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low")
+    rows = pages.select("page_id", "url", "html", _hosts("url").alias("host")).join(low, "host", "left").select("page_id", "url", "html", "low", "hinted")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars long")
 

@@ -421,7 +421,57 @@ def test_style_tree_counts_copies_once(spark):
     assert got[200, "https://equal.org/"] == "Same on each page\nOwn text"
     tree = op6_html_extract.style_tree(df).groupBy("host").agg(F.max("pages").alias("n")).collect()
     assert {r["host"]: r["n"] for r in tree} == {"copies.org": 11, "": 11, "equal.org": 1}
-    assert op6_html_extract.extract("<html><body>text</body></html>", lambda path: True) == "text"
+    assert op6_html_extract.extract("<html><body>text</body></html>", lambda path, weight: True) == "text"
+
+
+def test_style_tree_matches_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", F.regexp_replace("html", "<article>", "<article><div class=box><p>Always</p></div>").alias("html"))
+    pages = pages.unionByName(pages.filter("page_id % 5 = 0"))
+    hosts = collections.defaultdict(set)
+    for r in pages.collect():
+        hosts[r["url"].split("/")[2]].add(r["html"])
+
+    def text(x):
+        return [" ".join(y.split()) if isinstance(y, str) else text(y) for y in x.inner if isinstance(y, str) or y.tag not in op6_html_extract.HIDDEN]
+
+    def walk(x, path, out):
+        own = [y for y in x.inner if not isinstance(y, str)]
+        if path:
+            had = out.setdefault(path, ([], []))
+            had[0].append([(y.tag, y.names) for y in own])
+            had[1].append(([" ".join(y.split()) for y in x.inner if isinstance(y, str)], [text(y) for y in own if y.tag not in op6_html_extract.HIDDEN]))
+        for y in own:
+            if y.tag not in op6_html_extract.HIDDEN:
+                walk(y, (*path, (y.tag, y.names)), out)
+        return out
+
+    want = collections.Counter()
+    for host, distinct in hosts.items():
+        seen = collections.defaultdict(lambda: (collections.Counter(), collections.Counter()))
+        for page in distinct:
+            for path, (shapes, texts) in walk(op6_html_extract.parse(page), (), {}).items():
+                seen[path][0][repr(shapes)] += 1
+                seen[path][1][repr(texts)] += 1
+        for shapes, texts in seen.values():
+            m = sum(shapes.values())
+            entropy = -sum(n / m * np.log(n / m) for n in shapes.values()) / np.log(m) if m > 1 else 1
+            content = 1 - sum(n / m * np.log(n) for n in texts.values()) / np.log(m) if m > 1 else 1
+            g = op6_html_extract.GAMMA ** len(shapes)
+            want[host, m, *(round(float(x), 6) + 0.0 for x in (entropy, content, (1 - g) * entropy + g * content))] += 1
+    got = collections.Counter((r["host"], r["pages"], *(round(r[c], 6) + 0.0 for c in ("presentation", "content", "importance"))) for r in op6_html_extract.style_tree(pages).collect())
+    assert got == want
+    # On hosts with pages enough the tree takes out the box, which names would leave.
+    texts = {(r["page_id"], r["text"].startswith("Always")) for r in op6_html_extract.extract_pages(pages).collect()}
+    for r in pages.collect():
+        assert (r["page_id"], len(hosts[r["url"].split("/")[2]]) < op6_html_extract.LEAST_PAGES) in texts
+
+
+def test_names_that_only_hint_leave_it_to_the_tree(spark):
+    keep = op6_html_extract.extract
+    assert keep('<article><div class="header"><h1>Title</h1></div><div class="notice-board"><p>a</p></div><p class="social">b</p><div class="notice">no</div><div class="adBanner">no</div></article>') == "Title\na\nb"
+    page = '<body><article><div class="social"><p>Share this, and that</p></div><div class="header"><h1>Title {0}</h1></div><p>own text {0}</p></article></body>'
+    df = spark.createDataFrame([(k, "https://h.org/", page.format(k)) for k in range(40)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in op6_html_extract.extract_pages(df).collect()}[7] == "Title 7\nown text 7"
 
 
 # 7
