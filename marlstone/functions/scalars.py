@@ -65,10 +65,6 @@ def file_prefix(name: Column) -> Column:
     return F.regexp_extract(name, r"^(\.?[^.]*)", 1)
 
 
-def parent_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
-
-
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
@@ -93,3 +89,8 @@ def version_parts(name: Column) -> Column:
     pre = F.regexp_extract(name, whole, 4)
     parts = F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (pre == "").alias("release"), pre.alias("pre"))
     return F.when(number(1).isNotNull() & number(2).isNotNull() & number(3).isNotNull(), parts)
+
+
+def nested(json: Column, *keys: str) -> Column:
+    """The value at a path of keys in JSON text; null if a level is missing."""
+    return F.get_json_object(json, "$" + "".join(f"['{k}']" for k in keys))

@@ -39,3 +39,22 @@ def summary(refs: DataFrame, gone: DataFrame, shown: int = SHOWN) -> DataFrame:
     counts = gone.agg(F.count("*").alias("missing")).crossJoin(refs.agg(F.count_distinct("key").alias("total")))
     line = F.concat(F.lit("Found "), scalars.with_commas(F.col("missing")), F.lit("/"), scalars.with_commas(F.col("total")))
     return counts.select("missing", "total", F.greatest(F.col("missing") - shown, F.lit(0)).cast("long").alias("hidden"), line.alias("line"))
+
+
+def nth_of(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with ``nth``: 1 for a key's first row, more for its repeats."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def rendered(severity: str, message: str, label: str, path: str, text: str, offset: int, length: int) -> str:
+    """A diagnostic with its line of source and the span marked; offset and length are in bytes."""
+    data = text.encode()
+    start = data.rfind(b"\n", 0, offset) + 1
+    end = data.find(b"\n", offset)
+    line = data[start : len(data) if end < 0 else end].decode(errors="replace").rstrip("\r").expandtabs(4)
+    before = len(data[start:offset].decode(errors="replace").expandtabs(4))
+    width = max(1, len(data[offset : offset + length].decode(errors="replace")))
+    number = str(data.count(b"\n", 0, offset) + 1)
+    pad = " " * len(number)
+    column = len(data[start:offset].decode(errors="replace")) + 1
+    return f"{severity}: {message}\n{pad}--> {path}:{number}:{column}\n{pad} |\n{number} | {line}\n{pad} | {' ' * before}{'^' * width} {label}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import suppress
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ EVENT_KINDS = ("country_event", "news_event", "operative_leader_event", "state_e
 
 
 class NotATree(FileNotFoundError):
-    """The folder has no descriptor."""
+    """The folder has no readable descriptor."""
 
 
 class MissingLocalisations(Exception):
@@ -36,17 +37,17 @@ def _path_is(*keys: str):
 
 def references(files: DataFrame) -> DataFrame:
     """refs(key, path, offset): texts of events, ids of focuses, names of technologies."""
-    own = tree.routed(files).filter(F.col("route").isin("events", "national_focus", "technologies"))
-    nodes = script.nodes(own, hits=True).withColumn("parent", scalars.parent_name(F.col("path")))
+    own = tree.routed(files).filter(F.col("route").isin(*tree.FOLDERS.values()))
+    nodes = script.nodes(own, hits=(*EVENT_KINDS, "focus_tree", "technologies"), carry=("route",))
     scalar = F.col("kind") == "scalar"
     top = F.get("key_path", F.lit(0))
     below = F.slice("key_path", 2, 100)
     texts = below.isin([F.array(F.lit("title")), F.array(F.lit("desc")), F.array(F.lit("option"), F.lit("name"))])
-    event = (F.col("parent") == "events") & scalar & top.isin(*EVENT_KINDS) & texts
-    focus = (F.col("parent") == "national_focus") & scalar & _path_is("focus_tree", "focus", "id")
-    technology = (F.col("parent") == "technologies") & (F.col("depth") == 1) & (top == "technologies") & F.col("key").isNotNull() & ~F.startswith("key", F.lit("@"))
+    event = (F.col("route") == "events") & scalar & top.isin(*EVENT_KINDS) & texts
+    focus = (F.col("route") == "national_focus") & scalar & _path_is("focus_tree", "focus", "id")
+    technology = (F.col("route") == "technologies") & (F.col("depth") == 1) & (top == "technologies") & F.col("key").isNotNull() & ~F.startswith("key", F.lit("@"))
     found = nodes.filter(event | focus | technology)
-    is_tech = F.col("parent") == "technologies"
+    is_tech = F.col("route") == "technologies"
     return report.first_refs(found.select(F.when(is_tech, F.col("key")).otherwise(F.col("scalar")).alias("key"), "path", F.when(is_tech, F.col("key_hit")).otherwise(F.col("hit")).alias("offset")))
 
 
@@ -80,9 +81,8 @@ def event_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def rewrites(files: DataFrame) -> DataFrame:
     """rewrites(path, kind, text, new_text, changed) of all focus and event files."""
-    direct = files.withColumn("above", F.regexp_extract("path", r"([^/]*)/[^/]*/[^/]*$", 1))
-    focus_files = direct.filter("parent = 'national_focus' and above = 'common'")
-    event_files = files.filter("parent = 'events'")
+    focus_files = files.filter("folder = 'common/national_focus'")
+    event_files = files.filter("folder = 'events'")
     nodes, edges = focus_graph(script.nodes(focus_files))
     done = graph.toposort(nodes, edges).filter("ok")
     place = done.select(F.regexp_extract("group_id", r"^(?s:(.*))#[0-9]+$", 1).alias("path"), F.regexp_extract("group_id", r"#([0-9]+)$", 1).cast("int").alias("tree"), "rank", "id")
@@ -102,12 +102,15 @@ def write(changes: DataFrame) -> None:
 
     def put(rows) -> None:  # noqa: ANN001
         for r in rows:
+            beside = f"{r['path']}.new"
             try:
-                with open(f"{r['path']}.new", "w", encoding="utf-8", newline="") as f:
+                with open(beside, "w", encoding="utf-8", newline="") as f:
                     f.write(r["new_text"])
-                os.replace(f"{r['path']}.new", r["path"])
+                os.replace(beside, r["path"])
             except OSError:
-                continue
+                # What is left would be read as a file of the tree.
+                with suppress(OSError):
+                    os.remove(beside)
 
     changes.filter("changed").select("path", "new_text").foreachPartition(put)
 
@@ -115,34 +118,53 @@ def write(changes: DataFrame) -> None:
 class Lint(NamedTuple):
     diagnostics: DataFrame
     summary: DataFrame
+    #: What is persisted for both.
+    kept: tuple[DataFrame, ...] = ()
 
 
 def lint(spark: SparkSession, root: str, langs: list[str] | None = None, every: bool = False, version_data: DataFrame | None = None) -> Lint:
     """Missing keys of the active languages (English if none is named), and what is wrong with the descriptor."""
     descriptor = os.path.join(root, "descriptor.mod")
-    if not os.path.isfile(descriptor):
-        raise NotATree(descriptor)
-    chosen = tree.languages(spark)
-    if not every:
-        chosen = chosen.filter(F.col("cli_name").isin(*(langs or ["english"])))
-    chosen = chosen.select("ord", F.col("file_code").alias("lang"))
+    try:
+        with open(descriptor, encoding="utf-8", newline="") as f:
+            text = f.read()
+    except (OSError, UnicodeDecodeError) as e:
+        raise NotATree(descriptor) from e
+    tree.check_walk(root)
+    chosen = tree.active(spark, langs, every)
     files = tree.read_tree(spark, root, within=tree.ROUTES)
-    # Only active languages' files are read to keys.
-    codes = [r["lang"] for r in chosen.collect()]
-    routed = tree.routed(files)
-    keys = tree.load_keys(routed.filter(F.col("lang").isNull() | F.col("lang").isin(*codes)).select(*files.columns))
-    refs = references(files)
-    gone = report.missing(refs, chosen, keys)
+    keys = tree.load_keys(tree.active_files(files, chosen))
+    # Three results come from both, so the tree is read and parsed once.
+    refs = references(files).persist()
+    gone = report.missing(refs, chosen, keys).persist()
     shown = report.top(gone).join(refs, "key").select(F.lit("missing_localisation").alias("kind"), F.lit("warning").alias("severity"), "key", F.col("absent").alias("detail"), "path", "offset", F.octet_length("key").cast("long").alias("length"), "rank")
-    own = spark.createDataFrame([(descriptor, open(descriptor, encoding="utf-8").read())], "path string, text string")
-    return Lint(shown.unionByName(check_descriptor(own, version_data)), report.summary(refs, gone))
+    own = spark.createDataFrame([(descriptor, text)], "path string, text string")
+    return Lint(shown.unionByName(check_descriptor(own, version_data)), report.summary(refs, gone), (refs, gone))
+
+
+# What a diagnostic says, and the label of its span.
+MESSAGES = {
+    "missing_localisation": ('"{key}" not localised in: {detail}.', "missing localisation"),
+    "duplicate_key": ('duplicate key "{key}" in descriptor.mod.', "duplicate key"),
+    "version_mismatch": ('descriptor.mod supported_version "{key}" does not match the latest version {detail}.', "unsupported version"),
+}
+
+
+def rendered(spark: SparkSession, root: str, rows: list) -> list[str]:
+    """The diagnostics with their lines of source; only their files are read."""
+    paths = sorted({r["path"] for r in rows})
+    texts = {r["path"]: r["text"] for r in tree.read_tree(spark, root, only=paths).collect()} if paths else {}
+    out = []
+    for r in rows:
+        message, label = MESSAGES[r["kind"]]
+        out.append(report.rendered(r["severity"], message.format(key=r["key"], detail=r["detail"]), label, r["path"], texts.get(r["path"], ""), r["offset"], r["length"]))
+    return out
 
 
 def check_descriptor(descriptor: DataFrame, version_data: DataFrame | None = None) -> DataFrame:
     """Repeated keys, whether or not there is version data, and a requirement that the latest version misses."""
     fields = script.nodes(descriptor).filter((F.col("depth") == 0) & F.col("key").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("path", "key").orderBy("node_id"))
-    fields = fields.withColumn("nth", nth).join(descriptor, "path")
+    fields = report.nth_of(fields, ("path", "key"), ("node_id",)).join(descriptor, "path")
     again = fields.filter("nth > 1 and key <> 'replace_path'").withColumn("offset", scalars.second_byte_offset(F.col("text"), F.col("key")))
     columns = [F.lit("warning").alias("severity"), "key", F.col("detail"), "path", "offset", "length", "rank"]
     out = again.select(F.lit("duplicate_key").alias("kind"), "key", F.lit("").alias("detail"), "path", "offset", F.octet_length("key").cast("long").alias("length"), F.col("node_id").alias("rank"))
@@ -165,17 +187,20 @@ def run(spark: SparkSession, root: str = ".", do_lint: bool = False, do_format:
         do_lint = True
     drift = False
     if do_format or do_check:
-        changes = rewrites(tree.read_tree(spark, root, within=("national_focus", "events")))
+        changes = rewrites(tree.read_tree(spark, root, within=("common/national_focus", "events")))
         if do_format:
             write(changes)
-            changes = rewrites(tree.read_tree(spark, root, within=("national_focus", "events")))
+            changes = rewrites(tree.read_tree(spark, root, within=("common/national_focus", "events")))
         if do_check:
             drift = bool(changes.agg(F.coalesce(F.bool_or("changed"), F.lit(False))).first()[0])
     if do_lint:
         found = lint(spark, root, langs, every, version_data)
-        for r in found.diagnostics.orderBy("kind", "rank").collect():
-            show(f"{r['severity']}: {r['kind']} {r['key']} {r['detail']} ({r['path']}:{r['offset']}+{r['length']})")
+        rows = found.diagnostics.orderBy("kind", "rank").collect()
         s = found.summary.first()
+        for x in found.kept:
+            x.unpersist()
+        for x in rendered(spark, root, rows):
+            show(x)
         if s["hidden"]:
             show(f"... and {s['hidden']} more")
         show(s["line"])

@@ -6,6 +6,7 @@ read whole, so a Python data source lists it and reads batches of files.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -17,7 +18,33 @@ from ..functions import scalars
 
 FILES_PER_TASK = 64
 BYTES_PER_TASK = 64 << 20
-ROUTES = ("localisation", "events", "national_focus", "technologies")
+# The folders, from the tree's root, whose files are read, and what they hold.
+FOLDERS = {"events": "events", "common/national_focus": "national_focus", "common/technologies": "technologies"}
+ROUTES = ("localisation", *FOLDERS)
+
+
+class WalkFailed(OSError):
+    """A part of the tree can't be listed, or a name in it is not UTF-8."""
+
+
+def _utf8(name: str) -> bool:
+    try:
+        name.encode()
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def check_walk(root: str) -> None:
+    """Raises ``WalkFailed`` unless every folder below ``root`` can be listed and every name is UTF-8."""
+
+    def failed(e: OSError) -> None:
+        raise WalkFailed(f"{e.filename}: {e.strerror}") from e
+
+    for at, folders, names in os.walk(root, onerror=failed):
+        for name in (*folders, *names):
+            if not _utf8(name):
+                raise WalkFailed(f"{at!r}: {os.fsencode(name)!r} is not UTF-8")
 
 
 class _Batch(InputPartition):
@@ -29,13 +56,18 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
         self.within = [x for x in options.get("within", "").split(",") if x]
+        self.only = set(json.loads(options["only"])) if "only" in options else None
+
+    def _folder(self, path: str) -> str:
+        """The folder of a file, from the root; empty for the root itself."""
+        at = os.path.relpath(os.path.dirname(path), self.root).replace(os.sep, "/")
+        return "" if at == "." else at
 
     def _wanted(self, path: str) -> bool:
-        """Pruning before any file is opened: direct parents, or names that mark a language."""
-        if not self.within:
-            return True
-        parent = os.path.basename(os.path.dirname(path))
-        return parent in self.within or ("l_" in os.path.basename(path) and "localisation" in self.within)
+        """Pruning before any file is opened: folders of the tree, or names that mark a language."""
+        if not _utf8(path) or (self.only is not None and path not in self.only):
+            return False
+        return not self.within or self._folder(path) in self.within or ("l_" in os.path.basename(path) and "localisation" in self.within)
 
     def partitions(self) -> list[_Batch]:
         found = sorted(os.path.join(at, name) for at, _, names in os.walk(self.root) for name in names)
@@ -54,41 +86,46 @@ class _Reader(DataSourceReader):
         # Spark takes no partition at all for one without a value.
         return [_Batch(b) for b in batches or [[]]]
 
-    def read(self, partition: _Batch) -> Iterator[tuple[str, bytes]]:
+    def read(self, partition: _Batch) -> Iterator[tuple[str, str, bytes]]:
         for path in partition.paths:
             try:
                 with open(path, "rb") as f:
-                    yield path, f.read()
+                    yield path, self._folder(path), f.read()
             except OSError:
                 continue
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("script_tree").load(root)``; ``within`` names parents to keep."""
+    """``spark.read.format("script_tree").load(root)``; ``within`` names folders to keep, ``only`` is a JSON list of paths."""
 
     @classmethod
     def name(cls) -> str:
         return "script_tree"
 
     def schema(self) -> str:
-        return "path string, content binary"
+        return "path string, folder string, content binary"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """files(path, parent, name, prefix, text) of all valid UTF-8 files below ``root``."""
+def read_tree(spark: SparkSession, root: str, within: tuple[str, ...] = (), only: list[str] | None = None) -> DataFrame:
+    """files(path, folder, name, prefix, text) of all valid UTF-8 files below ``root``."""
     if not os.path.isdir(root):
         raise FileNotFoundError(root)
     spark.dataSource.register(TreeSource)
-    found = spark.read.format("script_tree").option("within", ",".join(within)).load(root)
-    return with_names(found).filter(F.is_valid_utf8(F.col("content").cast("string"))).select("path", "parent", "name", "prefix", F.col("content").cast("string").alias("text"))
+    found = spark.read.format("script_tree").option("within", ",".join(within))
+    if only is not None:
+        found = found.option("only", json.dumps(only))
+    found = found.load(root).filter(F.is_valid_utf8(F.col("content").cast("string")))
+    return with_names(found.withColumn("text", F.col("content").cast("string"))).select("path", "folder", "name", "prefix", "text")
 
 
 def with_names(files: DataFrame) -> DataFrame:
-    path = F.col("path")
-    return files.withColumns({"parent": scalars.parent_name(path), "name": scalars.file_name(path)}).withColumn("prefix", scalars.file_prefix(F.col("name")))
+    """Adds ``name`` and ``prefix``, and ``folder`` where paths begin at the root."""
+    if "folder" not in files.columns:
+        files = files.withColumn("folder", F.regexp_extract("path", r"^(?s:(.*))/[^/]*$", 1))
+    return files.withColumn("name", scalars.file_name(F.col("path"))).withColumn("prefix", scalars.file_prefix(F.col("name")))
 
 
 def languages(spark: SparkSession) -> DataFrame:
@@ -101,7 +138,7 @@ def routed(files: DataFrame) -> DataFrame:
     codes = [code for _, code in scalars.LANGUAGES]
     marked = scalars.after_last_marker(F.col("prefix"))
     lang = F.when(marked.isin(codes), marked)
-    by_folder = F.when(F.col("parent").isin(*ROUTES[1:]), F.col("parent"))
+    by_folder = F.element_at(F.create_map(*(F.lit(x) for pair in FOLDERS.items() for x in pair)), F.col("folder"))
     return files.withColumn("lang", lang).withColumn("route", F.when(F.col("lang").isNotNull(), F.lit("localisation")).otherwise(by_folder))
 
 
@@ -113,3 +150,16 @@ def load_keys(files: DataFrame) -> DataFrame:
     own = routed(files).filter(F.col("route") == "localisation")
     lines = own.select("lang", F.posexplode(F.split("text", r"(?<=\n)", -1)).alias("at", "line")).filter("at > 0")
     return lines.select("lang", scalars.line_key(F.col("line")).alias("key")).filter(F.col("key") != "").distinct()
+
+
+def active(spark: SparkSession, chosen: list[str] | None = None, every: bool = False) -> DataFrame:
+    """(ord, lang) of the languages that count, by their command-line names: English if none is named."""
+    known = languages(spark)
+    if not every:
+        known = known.filter(F.col("cli_name").isin(*(chosen or ["english"])))
+    return known.select("ord", F.col("file_code").alias("lang"))
+
+
+def active_files(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``files`` without those of other languages, so that only active ones are split into keys."""
+    return routed(files).join(F.broadcast(chosen.select("lang")), "lang", "left_semi").select(*files.columns)

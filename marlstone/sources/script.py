@@ -91,31 +91,39 @@ def parse(text: str) -> list[dict]:
     return out
 
 
-def nodes(files: DataFrame, hits: bool = False) -> DataFrame:
+def nodes(files: DataFrame, hits: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """The nodes of files (path, text); unreadable files give none.
 
-    ``ids`` are the node ids along ``key_path``.  With ``hits``, ``hit`` and
-    ``key_hit`` are the bytes before the first occurrence of the scalar and of
-    the key anywhere in the text, which need not be the node itself.
+    ``ids`` are the node ids along ``key_path``.  For nodes under a top key of ``hits``,
+    ``hit`` and ``key_hit`` are the bytes before the first occurrence of the scalar and of
+    the key anywhere in the text, which need not be the node itself.  Columns to ``carry``
+    come along from the file.
     """
 
     def located(found: list[dict], text: str) -> list[dict]:
-        data = text.encode()
+        data, places = text.encode(), {}
         for n in found:
+            wanted = hits is not None and n["key_path"][0] in hits
             for to, what in (("hit", n["scalar"]), ("key_hit", n["key"])):
-                n[to] = max(data.find(what.encode()), 0) if hits and what is not None else None
+                if not wanted or what is None:
+                    n[to] = None
+                    continue
+                if what not in places:
+                    places[what] = max(data.find(what.encode()), 0)
+                n[to] = places[what]
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in NODES.split(", ")]
         for batch in batches:
             rows = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
+            for path, text, *rest in zip(batch["path"], batch["text"], *(batch[c] for c in carry), strict=True):
                 try:
-                    rows += [{"path": path} | n for n in located(parse(text), text)]
+                    rows += [{"path": path} | n | dict(zip(carry, rest, strict=True)) for n in located(parse(text), text)]
                 except Unreadable:
                     continue
-            out = pd.DataFrame(rows, columns=[*names, "count"])[names]
+            out = pd.DataFrame(rows, columns=[*names, *carry, "count"])[[*names, *carry]]
             yield out.astype({"hit": "Int64", "key_hit": "Int64"})
 
-    return files.select("path", "text").mapInPandas(run, NODES)
+    kind = ", ".join([NODES, *(f"{c} {files.schema[c].dataType.simpleString()}" for c in carry)])
+    return files.select("path", "text", *carry).mapInPandas(run, kind)

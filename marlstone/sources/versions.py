@@ -6,10 +6,12 @@ The text comes from outside: nothing is downloaded and no process is started.
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -67,6 +69,48 @@ def folded_values(rows: DataFrame) -> DataFrame:
     return grouped.select("parent", "key", F.when(F.size("values") == 1, single).otherwise(wrapped).alias("json"))
 
 
+def as_json(text: Column) -> Column:
+    """Key-values text as JSON; null where it can't be read."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else json.dumps(key_values_to_json(t), separators=(",", ":"), ensure_ascii=False))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
+def cache_path(folder: str | None = None) -> str:
+    """The cache's place: in the folder given, or that of ``MARLSTONE_CACHE_DIR``, or else ``.marlstone-cache``."""
+    return os.path.join(folder or os.environ.get("MARLSTONE_CACHE_DIR") or ".marlstone-cache", "versions")
+
+
+def cached(spark: SparkSession, path: str, text: str | None = None, now: float | None = None) -> DataFrame | None:
+    """(name) of the versions in captured ``text``, which goes to the cache, or else in a fresh cache; None without either.
+
+    The cache is a convenience: if it can't be read or written it is as if there were none.
+    """
+    if text is not None:
+        data = key_values_to_json(slice_output(text) or text)
+        try:
+            write_cache(spark, path, data, now)
+        except Exception:  # noqa: BLE001
+            pass
+        return version_names(spark.createDataFrame([(json.dumps(data),)], "data string"))
+    if not os.path.exists(path):
+        return None
+    try:
+        rows = read_cache(spark, path, now).collect()
+    except Exception:  # noqa: BLE001
+        return None
+    return version_names(spark.createDataFrame(rows[:1], "fetched_at long, data string")) if rows else None
+
+
 def read_cache(spark: SparkSession, path: str, now: float | None = None) -> DataFrame:
     """Cached rows (fetched_at, data) younger than a day; stamps from the future count as fresh."""
     rows = spark.read.schema("fetched_at long, data string").json(path)
@@ -79,12 +123,13 @@ def write_cache(spark: SparkSession, path: str, data: dict, now: float | None =
 
 def version_names(data: DataFrame, column: str = "data", app: str = APP) -> DataFrame:
     """(name) of each branch of the app; a missing level gives no rows."""
-    branches = F.get_json_object(column, f"$['{app}']['depots']['branches']")
+    branches = scalars.nested(F.col(column), app, "depots", "branches")
     return data.select(F.explode(F.json_object_keys(branches)).alias("name"))
 
 
-def latest(names: DataFrame) -> DataFrame:
-    """One row: the largest readable version as text, or null."""
-    v = F.max(scalars.version_parts(F.col("name")))
-    text = lambda x: F.concat_ws(".", x["major"], x["minor"], x["patch"])
-    return names.agg(v.alias("v")).select(F.when(F.col("v").isNotNull(), F.concat(text(F.col("v")), F.when(F.col("v.pre") != "", F.concat(F.lit("-"), F.col("v.pre"))).otherwise(F.lit("")))).alias("version"))
+def latest(names: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The largest readable version as text, or null, of each group; one row without ``by``."""
+    best = names.groupBy(*by).agg(F.max(scalars.version_parts(F.col("name"))).alias("v"))
+    pre = F.when(F.col("v.pre") != "", F.concat(F.lit("-"), F.col("v.pre"))).otherwise(F.lit(""))
+    text = F.concat(F.concat_ws(".", "v.major", "v.minor", "v.patch"), pre)
+    return best.select(*by, F.when(F.col("v").isNotNull(), text).alias("version"))
