@@ -35,6 +35,10 @@ def _path_is(*keys: str):
     return F.col("key_path") == F.array(*map(F.lit, keys))
 
 
+def _within(*top: str):
+    return F.get("key_path", F.lit(0)).isin(*top)
+
+
 def references(files: DataFrame) -> DataFrame:
     """refs(key, path, offset): texts of events, ids of focuses, names of technologies."""
     own = tree.routed(files).filter(F.col("route").isin(*tree.FOLDERS.values()))
@@ -80,13 +84,17 @@ def event_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rewrites(files: DataFrame) -> DataFrame:
-    """rewrites(path, kind, text, new_text, changed) of all focus and event files."""
+    """rewrites(path, kind, text, new_text, changed) of all focus and event files.
+
+    The nodes that the graphs are made of are persisted, as several relations come from
+    them and parsing is what costs most.
+    """
     focus_files = files.filter("folder = 'common/national_focus'")
     event_files = files.filter("folder = 'events'")
-    nodes, edges = focus_graph(script.nodes(focus_files))
+    nodes, edges = focus_graph(script.nodes(focus_files).filter(_within("focus_tree")).persist())
     done = graph.toposort(nodes, edges).filter("ok")
     place = done.select(F.regexp_extract("group_id", r"^(?s:(.*))#[0-9]+$", 1).alias("path"), F.regexp_extract("group_id", r"#([0-9]+)$", 1).cast("int").alias("tree"), "rank", "id")
-    nodes, edges = event_graph(script.nodes(event_files))
+    nodes, edges = event_graph(script.nodes(event_files).filter(_within(*EVENT_KINDS)).persist())
     place_events = graph.toposort(nodes, edges).filter("ok").select(F.col("group_id").alias("path"), F.lit(0).alias("tree"), "rank", "id")
 
     def of(kind: str, texts: DataFrame, order: DataFrame, keywords: tuple[str, ...]) -> DataFrame:

@@ -10,8 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 NODES = "path string, node_id int, parent_id int, depth int, ord int, key_path array<string>, ids array<int>, key string, kind string, scalar string, start long, end long, hit long, key_hit long"
 
@@ -113,17 +115,23 @@ def nodes(files: DataFrame, hits: tuple[str, ...] | None = None, carry: tuple[st
                 n[to] = places[what]
         return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in NODES.split(", ")]
+    fields = T.StructType.fromDDL(NODES).fields
+    kind = T.StructType([*fields, *(files.schema[c] for c in carry)])
+    types = to_arrow_schema(T.StructType(fields[1:]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, text, *rest in zip(batch["path"], batch["text"], *(batch[c] for c in carry), strict=True):
+            own: list[dict] = []
+            at: list[int] = []
+            for k, text in enumerate(batch.column("text").to_pylist()):
                 try:
-                    rows += [{"path": path} | n | dict(zip(carry, rest, strict=True)) for n in located(parse(text), text)]
+                    found = located(parse(text), text)
                 except Unreadable:
                     continue
-            out = pd.DataFrame(rows, columns=[*names, *carry, "count"])[[*names, *carry]]
-            yield out.astype({"hit": "Int64", "key_hit": "Int64"})
+                own += found
+                at += [k] * len(found)
+            columns = [pa.array([n[f.name] for n in own], f.type) for f in types]
+            of_file = batch.select(["path", *carry]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([of_file.column(0), *columns, *of_file.columns[1:]], kind.names)
 
-    kind = ", ".join([NODES, *(f"{c} {files.schema[c].dataType.simpleString()}" for c in carry)])
-    return files.select("path", "text", *carry).mapInPandas(run, kind)
+    return files.select("path", "text", *carry).mapInArrow(run, kind)
