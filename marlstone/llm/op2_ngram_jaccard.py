@@ -514,3 +514,18 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD)
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def sql_components(source: str = "documents", width: int = WIDTH, threshold: int = THRESHOLD) -> str:
+    """The whole result over ``source``, whose ids are unique, in DuckDB's SQL: every pair with a common shingle is counted."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from {source}),
+s as (select distinct doc_id, unnest(case when len(w) >= {width} then list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as gram from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from p join n i on i.doc_id = x join n j on j.doc_id = y where 100 * c >= {threshold} * (i.n + j.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(x, y) as (select doc_id, doc_id from d union select r.x, e.y from r join e on e.x = r.y),
+m as (select x, min(y) as least from r group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, m.least as component_id from d left join n on n.doc_id = d.doc_id join m on m.x = d.doc_id"""

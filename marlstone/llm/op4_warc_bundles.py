@@ -230,3 +230,14 @@ def read(index: DataFrame) -> DataFrame:
 def op4_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     return read(write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), scratch))
+
+
+def sql_records(source: str = "pages") -> str:
+    """The whole result over ``source``, whose ids are unique and not null, in DuckDB's SQL."""
+    bits = "array_to_string(list_transform(range(1, 41), lambda i: [" + ", ".join(f"'{k:04b}'" for k in range(16)) + "][instr('0123456789abcdef', h[i])]), '')"
+    value = " + ".join(f"{1 << (4 - k)} * (b[5 * i + {k + 1}] = '1')::int" for k in range(5))
+    return f"""
+with p as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h from {source}),
+q as (select page_id, t, {bits} as b from p),
+r as (select page_id, strlen(t)::bigint as payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + {value}]), '') as payload_digest, min(page_id) over (partition by t) as first_ from q)
+select page_id, payload_bytes, payload_digest, case when page_id = first_ then 'response' else 'revisit' end as record_type, case when page_id <> first_ then first_ end as refers_to from r"""

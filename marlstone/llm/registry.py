@@ -27,6 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op7_quality_rules
+    from . import op2_ngram_jaccard, op4_warc_bundles, op7_quality_rules
 
-    return {"op7_quality_rules": op7_quality_rules.sql_kept()}
+    return {
+        "op2_ngram_jaccard": op2_ngram_jaccard.sql_components(),
+        "op4_warc_bundles": op4_warc_bundles.sql_records(),
+        "op7_quality_rules": op7_quality_rules.sql_kept(),
+    }

@@ -8,6 +8,7 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -686,5 +687,17 @@ def test_language_odd_rows(spark, odd, docs):
     assert {r["lang_pred"] for r in op10_language_id.predict(odd, none).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = registry.queries()[name](spark, SF), con.sql(registry.oracle_sql()[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
 def test_registry():
     assert len(registry.queries()) == 10 and set(registry.oracle_sql()) <= set(registry.queries())
