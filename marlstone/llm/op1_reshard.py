@@ -1,21 +1,23 @@
 """Resharding by minimum-cost flow.
 
-Rows lie in old shards, each divided into blocks by a hash.  Only the blocks'
-sizes reach the driver, at most ``old shards * MOST_BLOCKS`` numbers.  A flow
+Rows lie in old shards, each divided into blocks by a hash.  Repeated rows (of one
+old shard, with the same id and text) fold into one with its number before anything
+is shuffled, so a block's rows are few even where copies are very many.  Only the
+blocks' sizes reach the driver, at most ``old shards * MOST_BLOCKS`` numbers.  A flow
 network from old to new shards, with the new capacities at its sink and a cost
 for each byte that changes its shard, gives the transfers that move the fewest
 bytes.  They are laid over each old shard's blocks in order: most blocks go or
 stay whole, and the few that a cut falls into are split row by row, largest
-first to the part that lacks most.  Blocks that stay are not touched; all others
-are rewritten, as Parquet files under ``shard=...`` in the shared folder, and
-read back.
+first to the part that lacks most.  Rows that stay are not touched; those that move,
+and no others, are rewritten, as Parquet files under ``shard=...`` in the shared
+folder, and read back.
 
 The law that holds is ``bytes``: shard sizes differ by about the smallest rows
 of a split block.  A hot old shard is many blocks, so no task gets it whole.
 
 Defined results: a null text counts as an empty one (size 1, checksum 0); a
 null old shard is shard 0.  Ties and repeated rows are interchangeable; a
-slot's order is block, doc_id (nulls first), checksum, size.  A very long text
+slot's order is block, doc_id (nulls first), digest of the text.  A very long text
 is one row and goes whole.  With fewer rows than shards some shards stay empty;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -23,9 +25,7 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ OLD_SHARDS = 8
 #: Blocks of an old shard at most, and rows that a block should have.
 MOST_BLOCKS = 8192
 BLOCK_ROWS = 256
+#: Repeats of a row given out by one task, about.
+REPEATS = 10_000
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost) -> list[list[int]]:
@@ -107,23 +109,50 @@ def plan(blocks: dict[tuple[int, int], int], shards: int, cost=None) -> tuple[di
     return whole, split
 
 
+def _shared_out(lacks: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` rows of one size go to each part, each to the part that then lacks most."""
+    low, high = min(lacks) - size * n, max(lacks)
+    # The lowest level to which all parts can be filled.
+    while low < high:
+        level = (low + high) // 2
+        if sum(max(0, (x - level) // size) for x in lacks) <= n:
+            high = level
+        else:
+            low = level + 1
+    out = [max(0, (x - low) // size) for x in lacks]
+    for _ in range(n - sum(out)):
+        k = max(range(len(lacks)), key=lambda k: (lacks[k] - size * out[k], -k))
+        out[k] += 1
+    return out
+
+
 def _deal(split: dict[tuple[int, int], list[tuple[int, int]]]):
     def run(table: pa.Table) -> pa.Table:
         """Rows of one split block, largest first, each to the part that lacks most."""
-        key = (table.column("old")[0].as_py(), table.column("block")[0].as_py())
-        rn, size = table.column("rn").to_numpy(), table.column("size").to_numpy()
-        lacks = np.array([n for _, n in split[key]])
-        to = np.array([j for j, _ in split[key]], np.int32)
-        out = np.empty(len(rn), np.int32)
-        for k in np.argsort(rn):
-            part = int(lacks.argmax())
-            lacks[part] -= size[k]
-            out[k] = to[part]
-        return pa.table({"old": table.column("old"), "block": table.column("block"), "rn": rn, "shard": out})
+        parts = split[table.column("old")[0].as_py(), table.column("block")[0].as_py()]
+        lacks, rows, shards, counts = [n for _, n in parts], [], [], []
+        order = sorted(zip(table.column("size").to_pylist(), table.column("digest").to_pylist(), table.column("doc_id").to_pylist(), range(table.num_rows), strict=True), key=lambda x: (-x[0], x[1], x[2] is not None, x[2]))
+        for size, _, _, k in order:
+            for j, n in enumerate(_shared_out(lacks, size, table.column("n")[k].as_py())):
+                if n:
+                    lacks[j] -= size * n
+                    rows.append(k)
+                    shards.append(parts[j][0])
+                    counts.append(n)
+        out = table.select(["old", "block", "doc_id", "digest"]).take(pa.array(rows))
+        return out.append_column("shard", pa.array(shards, pa.int32())).append_column("n", pa.array(counts, pa.int64()))
 
     return run
 
 
+def _copies(rows: DataFrame, n: str, at: str) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``at``; a row with very many goes to several tasks."""
+    some = rows.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / REPEATS))))
+    spread = some.repartition(*(c for c in some.columns if not c.startswith("text")))
+    first = F.col("_chunk") * REPEATS
+    return spread.withColumn(at, F.explode(F.sequence(first, F.least(first + REPEATS, F.col(n)) - 1))).drop("_chunk")
+
+
 def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Rows (doc_id, text, old) put into ``shards`` shards of near equal bytes; rewrites what moves.
 
@@ -133,46 +162,53 @@ def reshard(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     scratch = Scratch(spark, "reshard")
     old_shards = 1 + (rows.agg(F.max("old")).first()[0] or 0)
     blocks_each = max(1, min(MOST_BLOCKS, rows.count() // (old_shards * BLOCK_ROWS)))
-    key = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks_each)).cast("int")
-
-    def measured(df: DataFrame) -> DataFrame:
-        return df.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("text_crc32", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long"))
-
-    base = measured(rows.select("doc_id", "text", F.coalesce("old", F.lit(0)).cast("int").alias("old"))).withColumn("block", key)
-    sizes = base.groupBy("old", "block").agg(F.sum("size").alias("bytes")).collect()
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    block = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(blocks_each)).cast("int")
+    texts = rows.select("doc_id", "text", F.coalesce("old", F.lit(0)).cast("int").alias("old")).withColumn("digest", digest).withColumn("block", block)
+
+    def folded(df: DataFrame, *more: str) -> DataFrame:
+        size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+        crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+        measured = df.select("doc_id", "digest", "old", "block", *more, size.alias("size"), crc.alias("text_crc32"))
+        return measured.groupBy("doc_id", "digest", "old", "block", "size", "text_crc32", *more).agg(F.count("*").alias("n"))
+
+    base = scratch.table(folded(texts), "rows")
+    sizes = base.groupBy("old", "block").agg(F.sum(F.col("size") * F.col("n")).alias("bytes")).collect()
     whole, split = plan({(r["old"], r["block"]): r["bytes"] for r in sizes}, shards)
 
     # Both tables have at most as many rows as there are blocks.
     place = F.broadcast(spark.createDataFrame([(o, b, j) for (o, b), j in whole.items()], "old int, block int, shard int"))
     cut = F.broadcast(spark.createDataFrame([(o, b) for o, b in split], "old int, block int"))
-    placed = base.join(place, ["old", "block"])
-    stays = placed.filter("shard = old").select("doc_id", "size", "text_crc32", "old", "block", "shard", F.lit(False).alias("moved"))
-
-    in_block = Window.partitionBy("old", "block").orderBy(F.desc("size"), "doc_id", "text_crc32")
-    torn = scratch.table(base.join(cut, ["old", "block"]).withColumn("rn", F.row_number().over(in_block)), "split")
-    dealt = torn.select("old", "block", "rn", "size").groupBy("old", "block").applyInArrow(_deal(split), "old int, block int, rn int, shard int")
-    torn = torn.join(dealt, ["old", "block", "rn"])
-
-    columns = ["doc_id", "text", "old", "block", "shard"]
+    kind = f"old int, block int, doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, shard int, n long"
+    dealt = scratch.table(base.join(cut, ["old", "block"]).groupBy("old", "block").applyInArrow(_deal(split), kind), "dealt")
+    columns = ["doc_id", "digest", "old", "block", "shard", "size", "text_crc32", "n"]
+    parted = base.drop("n").join(dealt.withColumnRenamed("doc_id", "id"), ["old", "block", "digest"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
+    stays = base.join(place, ["old", "block"]).select(*columns).unionByName(parted.select(*columns)).filter("shard = old")
+
+    # Whole blocks move as they lie; of split ones, each text as often as rows of it move.
+    written = ["doc_id", "text", "digest", "old", "block", "shard"]
+    once = texts.join(cut, ["old", "block"]).dropDuplicates(["doc_id", "digest", "old", "block"])
+    leaving = dealt.filter("shard <> old").withColumnRenamed("doc_id", "id")
+    torn = _copies(once.join(leaving, ["old", "block", "digest"]).filter(F.col("doc_id").eqNullSafe(F.col("id"))), "n", "_at")
     rewritten = scratch.path("shards")
-    placed.filter("shard <> old").select(*columns).unionByName(torn.select(*columns)).write.option("compression", "zstd").partitionBy("shard").parquet(rewritten)
-    if whole or split:
-        kind = ", ".join(f"{c} {rows.schema[c].dataType.simpleString() if c in ('doc_id', 'text') else 'int'}" for c in columns)
-        back = measured(spark.read.schema(kind).parquet(rewritten)).select("doc_id", "size", "text_crc32", "old", "block", "shard", F.lit(True).alias("moved"))
-        stays = stays.unionByName(back)
-    now = scratch.table(stays, "placed")
+    texts.join(place, ["old", "block"]).filter("shard <> old").select(*written).unionByName(torn.select(*written)).write.option("compression", "zstd").partitionBy("shard").parquet(rewritten)
+    kinds = {"digest": "binary", "old": "int", "block": "int", "shard": "int"}
+    kind = ", ".join(f"{c} {kinds[c] if c in kinds else rows.schema[c].dataType.simpleString()}" for c in written)
+    moved = folded(spark.read.schema(kind).parquet(rewritten), "shard")
+    now = scratch.table(stays.unionByName(moved.select(*columns)), "placed")
 
     # Slots: the rows of earlier blocks of the shard, then the place within the block.
-    counts = now.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).collect()
+    counts = now.groupBy("shard", "old", "block").agg(F.sum("n").alias("n")).collect()
     before: dict[int, int] = defaultdict(int)
     starts = []
     for r in sorted(counts, key=lambda r: (r["shard"], r["old"], r["block"])):
         starts.append((r["shard"], r["old"], r["block"], before[r["shard"]]))
         before[r["shard"]] += r["n"]
     start = F.broadcast(spark.createDataFrame(starts, "shard int, old int, block int, before long"))
-    within = Window.partitionBy("shard", "old", "block").orderBy("doc_id", "text_crc32", "size")
-    out = now.withColumn("at", F.row_number().over(within)).join(start, ["shard", "old", "block"])
-    return out.select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("before") + F.col("at") - 1).alias("slot"), "moved")
+    within = Window.partitionBy("shard", "old", "block").orderBy("doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    out = now.withColumn("at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(start, ["shard", "old", "block"])
+    out = _copies(out.select("doc_id", "size", "text_crc32", "old", "shard", (F.col("before") + F.col("at")).alias("first"), "n"), "n", "nth")
+    return out.select("doc_id", "size", "text_crc32", F.col("old").alias("old_shard"), "shard", (F.col("first") + F.col("nth")).alias("slot"), (F.col("old") != F.col("shard")).alias("moved"))
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:

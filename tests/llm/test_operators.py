@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import textwrap
@@ -77,9 +78,50 @@ def test_shards_are_even_and_whole(spark, docs):
 def test_reshard_odd_rows_and_empty(spark, odd):
     rows = odd.select("doc_id", "text", F.lit(0).alias("old"), "kept")
     check_shards(op1_reshard.reshard(rows, 3).collect(), ODD, 3)
+    lost = rows.withColumn("old", F.when(F.col("doc_id") > 5, F.lit(1)))
+    got = op1_reshard.reshard(lost, 3).collect()
+    check_shards(got, ODD, 3)
+    assert {r["old_shard"] for r in got} == {0, 1}
     assert op1_reshard.reshard(rows.limit(0)).count() == 0
 
 
+def test_reshard_moves_and_rewrites_the_least(spark, docs, monkeypatch):
+    monkeypatch.setattr(op1_reshard, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(op1_reshard, "REPEATS", 7)
+    # Repeats of one row are a third of all bytes, so they are parted by number.
+    long = docs.filter("length(text) between 500 and 600").limit(1).collect()[0]
+    rows = docs.select("doc_id", "text", F.pmod("doc_id", F.lit(5)).cast("int").alias("old")).collect() + [(long["doc_id"], long["text"], 2)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(3)
+    got = op1_reshard.reshard(df, 7).collect()
+    sizes = check_shards(got, [(i, t) for i, t, _ in rows], 7)
+    assert max(sizes) - min(sizes) < 2500
+    assert all(r["moved"] == (r["old_shard"] != r["shard"]) for r in got)
+    total = sum(sizes)
+    supply = [sum(len((t or "").encode()) + 1 for _, t, o in rows if o == k) for k in range(5)] + [0, 0]
+    least = sum(max(0, n - (total // 7 + (j < total % 7))) for j, n in enumerate(supply))
+    assert abs(sum(r["size"] for r in got if r["moved"]) - least) < 7 * 2500
+    # The rewritten files hold what moved, each copy.
+    folder = spark.conf.get("spark.checkpoint.dir")
+    at = max((p for p in pathlib.Path(folder).glob("reshard-*/*-shards")), key=lambda p: p.stat().st_mtime)
+    back = collections.Counter((r["doc_id"], r["text"], r["shard"]) for r in spark.read.parquet(str(at)).collect())
+    assert collections.Counter((i, len((t or "").encode()) + 1, j) for (i, t, j), n in back.items() for _ in range(n)) == collections.Counter((r["doc_id"], r["size"], r["shard"]) for r in got if r["moved"])
+    texts = {(i, t) for i, t, _ in rows}
+    assert all((i, t) in texts for i, t, _ in back)
+
+
+def test_equal_rows_are_dealt_as_one_by_one():
+    rng = random.Random(14)
+    for _ in range(200):
+        lacks, size, n = [rng.randrange(-20, 200) for _ in range(rng.randrange(1, 6))], rng.randrange(1, 9), rng.randrange(60)
+        want, left = [0] * len(lacks), list(lacks)
+        for _ in range(n):
+            k = max(range(len(left)), key=lambda k: (left[k], -k))
+            left[k] -= size
+            want[k] += 1
+        got = op1_reshard._shared_out(lacks, size, n)
+        assert sum(got) == n and sorted(x - size * g for x, g in zip(lacks, got, strict=True)) == sorted(left)
+
+
 def test_flow_moves_the_least():
     rng = random.Random(2)
     for _ in range(50):
