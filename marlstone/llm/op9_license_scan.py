@@ -12,8 +12,12 @@ template as its smallest unit has, the best window begins with a shared bigram
 that it has once, and it ends before its other bigrams are more than
 ``(2 - 2 * t) / t`` of the template's.
 
-The templates are a parameter of fixed size; documents are read once and never
-shuffled.
+A window's later begins can at best share the bigrams that are still to come, so
+the search ends where those can't beat what is found.
+
+The templates are a parameter of fixed size, sent to the tasks once: short notices
+(``TEMPLATES``) and the full public texts in ``license_texts``.  Documents are read
+once and never shuffled.
 
 Defined results: texts that are null, empty or have no unit of two words match
 nothing (``license`` null, ``score`` 0, no ``licenses``).  Of equal scores the
@@ -27,6 +31,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +72,18 @@ TEMPLATES = {
     "LicenseRef-Reserved": ["All rights reserved."],
 }
 
+#: Full texts of public licenses, a file for each, by SPDX name.
+FULL_TEXTS = Path(__file__).parent / "license_texts"
+
+
+def default_templates() -> dict[str, list[str]]:
+    """The notices and the full texts, by name."""
+    out = {name: list(texts) for name, texts in TEMPLATES.items()}
+    for path in sorted(FULL_TEXTS.glob("*.txt")):
+        out.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
+    return out
+
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(0x20, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
@@ -75,7 +92,7 @@ _FOLD[[*range(0x20, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B,
 class Templates:
     def __init__(self, templates: dict[str, list[str]] | None = None, threshold: int = THRESHOLD):
         self.threshold = threshold
-        pairs = [(name, t) for name, ts in sorted((templates or TEMPLATES).items()) for t in ts]
+        pairs = [(name, t) for name, ts in sorted((templates or default_templates()).items()) for t in ts]
         self.names = [name for name, _ in pairs]
         sets = [self._bigrams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in pairs]
         self.sizes = np.array([len(s) for s in sets])
@@ -143,7 +160,15 @@ class Templates:
         """Score and begin of the first best window; -1 without one."""
         wanted, size, best, begin = self.sets[t], int(self.sizes[t]), 0, -1
         most = (200 - 2 * self.threshold) * size // self.threshold
+        # Distinct bigrams of the template from each place on.
+        ahead, met = [0] * len(own), set()
+        for i in range(len(own) - 1, -1, -1):
+            if own[i] in wanted:
+                met.add(own[i])
+            ahead[i] = len(met)
         for i, g in enumerate(own):
+            if 200 * ahead[i] < self.threshold * (ahead[i] + size) or 20000 * ahead[i] // (ahead[i] + size) <= best:
+                break
             if g not in wanted:
                 continue
             seen, both, other = set(), 0, 0
@@ -193,10 +218,11 @@ class Templates:
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, license, score, line, licenses) of every row (doc_id, text)."""
-    own = Templates(templates, threshold)
+    sent = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
         for batch in batches:
             data, offs = buffers(batch.column("text"))
             for lo, hi in chunks(offs):

@@ -631,7 +631,7 @@ def test_license_scan(spark, odd):
         best, names = None, set()
         for line, unit in [*enumerate(t.split("\n")), (-1, t)]:
             a = set(zip(fold(unit), fold(unit)[1:], strict=False))
-            for name, ts in op9_license_scan.TEMPLATES.items():
+            for name, ts in op9_license_scan.default_templates().items():
                 for x in ts:
                     b = set(zip(fold(x), fold(x)[1:], strict=False))
                     if a and 200 * len(a & b) >= 80 * (len(a) + len(b)):
@@ -660,6 +660,20 @@ def test_license_scan_finds_wrapped_notices_and_sentences(spark):
     assert (got[n]["license"], got[n]["score"], got[n]["line"]) == ("MIT", 1.0, 0) and got[n + 1]["license"] == "CC-BY-4.0" and got[n + 3]["license"] is None
 
 
+def test_license_files_are_found_as_a_whole(spark):
+    full = {p.stem: p.read_text() for p in op9_license_scan.FULL_TEXTS.glob("*.txt")}
+    assert {"MIT", "BSD-3-Clause", "Apache-2.0", "ISC", "CC0-1.0", "GPL-2.0"} <= set(full)
+    rows = []
+    for name, text in sorted(full.items()):
+        wrapped = "\n".join("// " + x for para in text.split("\n\n") for x in (*textwrap.wrap(para, 70), ""))
+        edited = text.replace("copyright holder", "Example Corporation").replace("AUTHOR", "COMPANY")
+        rows += [(name, text), (name, f"/*\n{wrapped}\n*/\nint main() {{ return 0; }}\n" * 2), (name, f"{name}\n\nCopyright (c) 2020 Somebody Else\n\n{edited}\nend of file")]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in op9_license_scan.scan(df).collect()}
+    for k, (name, _) in enumerate(rows):
+        assert got[k]["license"] == name or (name in got[k]["licenses"] and got[k]["score"] == 1), (name, got[k])
+
+
 def test_license_windows_match_brute_force():
     rng = random.Random(5)
     own = op9_license_scan.Templates({"A": ["a b c d e f"], "B": ["c d a b", "a a b b c"]})
