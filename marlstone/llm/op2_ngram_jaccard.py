@@ -61,7 +61,7 @@ BLOCK_SHINGLES = 2_000_000
 PANEL = 512
 PANEL_GRAMS = 4096
 #: Members of small families in one task, and shingles.
-TASK_ROWS = 20_000
+TASK_ROWS = 5_000
 TASK_SHINGLES = 500_000
 #: Ids sent to all executors at most; beyond that the texts are joined with a shuffle.
 BROADCAST_IDS = 500_000
@@ -255,7 +255,9 @@ def _possible(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         comp, n = table.column("comp").to_numpy(), table.column("n").to_numpy()
         bits = np.stack([table.column(w).to_numpy() for w in BITMAP], axis=1).view(U)
-        wide = [None if x is None else np.array(x, np.int64).view(U) for x in table.column("wide").to_pylist()]
+        lists = table.column("wide").combine_chunks()
+        words_of, at = lists.values.to_numpy(zero_copy_only=False).view(U), np.asarray(lists.offsets)
+        wide = [words_of[lo:hi] if hi > lo else None for lo, hi in zip(at, at[1:], strict=False)]
         use = np.zeros(len(n), bool)
         for p, q in _blocks_of(table, n):
             for i, j in _panels(p, q, n, threshold):
