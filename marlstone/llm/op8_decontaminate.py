@@ -5,14 +5,15 @@ common to tell windows apart.  The CGK random walk reads a window: each step
 gives out the current symbol and moves on if a random bit of (step, symbol) is set.
 Two windows at small edit distance get sequences at small Hamming distance,
 since walks that were pushed apart by an edit meet again.  A repetition samples
-``COORDINATES`` steps; windows whose sampled symbols agree collide.  The number
-of repetitions follows from the target recall of one window and from the share of
+``COORDINATES`` steps; windows whose sampled symbols agree collide.  The numbers of
+walks and of repetitions in each follow from the target recall and from the share of
 equal steps that walks over windows at the edit limit have, which ``equal_steps``
-measures.
+measures: the longer the windows, the more walks it takes, as some never meet again.
 
-A passage's windows start at each of its words, a document's at every
-``stride``-th; the spans are chosen so that any occurrence holds a window that
-starts at the same word on both sides.
+Windows are sized by the passages: those of ``least`` to twice as many words have
+windows of half of ``least``.  A passage's windows start at each of its words, a
+document's at every ``stride``-th, a sixth of ``least``, so that any occurrence holds
+three windows that start at the same word on both sides.
 
 Passages of fewer than ``WALKED`` words have too few windows for that, and are
 found by seeds without loss: each of ``k`` edits spoils at most ``q`` of the
@@ -56,10 +57,11 @@ from .scratch import Scratch, free_name, small_batches
 from .textvec import U, buffers, chunks, mix, words
 
 SIMILARITY = 0.8
-TARGET_RECALL = 0.99
+TARGET_RECALL = 0.999
 COORDINATES = 2
-#: Pairs of windows that a share of equal steps is measured on.
+#: Pairs of windows that shares of equal steps are measured on, and walks at most.
 MEASURED = 4000
+MOST_WALKS = 12
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 32 << 20
 #: Marked texts sent to all executors at most; beyond that they are joined with a shuffle.
@@ -71,7 +73,7 @@ class Span(NamedTuple):
     """Windows of ``words`` words, in documents at every ``stride``-th word, read in ``steps`` steps."""
 
     least: int  # passages from so many words on
-    below: int
+    below: float
     words: int
     stride: int
     steps: int
@@ -79,8 +81,20 @@ class Span(NamedTuple):
 
 #: Passages of so many words are found by walks, shorter ones by seeds.
 WALKED = 25
-#: A passage of ``least`` words has at least ``stride`` windows, so one of them starts on the documents' grid.
-SPANS = (Span(WALKED, 1 << 60, 12, 4, 24),)
+#: Passages of so many words or more share the longest windows.
+LONGEST = 16 * WALKED
+
+
+def _spans() -> tuple[Span, ...]:
+    """Length classes, each twice the one before."""
+    out, least = [], WALKED
+    while least <= LONGEST:
+        out.append(Span(least, 2 * least if 2 * least <= LONGEST else math.inf, least // 2, least // 6, least // 2 * 2))
+        least *= 2
+    return tuple(out)
+
+
+SPANS = _spans()
 
 
 def walk(symbols: np.ndarray, start: np.ndarray, steps: int, seed: int) -> np.ndarray:
@@ -94,9 +108,13 @@ def walk(symbols: np.ndarray, start: np.ndarray, steps: int, seed: int) -> np.nd
     return out
 
 
+def _walk_seed(span: Span, walk_no: int) -> int:
+    return SEED + 7919 * walk_no + span.words
+
+
 @lru_cache(64)
 def equal_steps(span: Span, similarity: float = SIMILARITY, pairs: int = MEASURED) -> np.ndarray:
-    """For pairs of a window and its edited copy, at the edit limit: the share of steps at which their walks agree.
+    """For each walk and each pair of a window and its edited copy, at the edit limit: the share of steps that agree.
 
     Windows of random words; edits are substitutions, insertions and deletions alike.
     """
@@ -114,18 +132,32 @@ def equal_steps(span: Span, similarity: float = SIMILARITY, pairs: int = MEASURE
         sides[0].append(own)
         sides[1].append(np.array((copy + [0] * most)[:size], U))
     first = np.arange(pairs + 1) * size
-    a, b = (walk(_symbols(np.concatenate(x), first), first[:-1], span.steps, SEED) for x in sides)
-    return (a == b).mean(axis=0)
+    a, b = (_symbols(np.concatenate(x), first) for x in sides)
+    seeds = [_walk_seed(span, v) for v in range(MOST_WALKS)]
+    return np.stack([(walk(a, first[:-1], span.steps, seed) == walk(b, first[:-1], span.steps, seed)).mean(axis=0) for seed in seeds])
 
 
 @lru_cache(64)
-def repetitions(span: Span, recall: float = TARGET_RECALL, similarity: float = SIMILARITY, k: int = COORDINATES) -> int:
-    """The least number that finds the target share of occurrences, whose windows on the grid each may collide."""
+def repetitions(span: Span, recall: float = TARGET_RECALL, similarity: float = SIMILARITY, k: int = COORDINATES) -> tuple[int, int]:
+    """Walks, and repetitions in each, that find the target share of occurrences, whose windows on the grid each may collide.
+
+    Of those that do, the ones with the least work, where a repetition counts as much as three steps of a walk.
+    """
     windows = max(1, (span.least - span.words + 1) // span.stride)
-    lost, reps = 1 - equal_steps(span, similarity) ** k, 1
-    while (lost**reps).mean() ** windows > 1 - recall:
-        reps += 1
-    return reps
+    lost, best = np.ones(MEASURED), (math.inf, 0, 0)
+    for walks, share in enumerate(equal_steps(span, similarity), 1):
+        lost = lost * (1 - share**k)
+        reps = 1
+        while (cost := walks * (span.steps + 3 * reps)) < best[0]:
+            if (lost**reps).mean() ** windows <= 1 - recall:
+                best = (cost, walks, reps)
+            elif best[1] or reps < MEASURED:
+                reps += 1
+            else:
+                break
+    if not best[1]:
+        raise ValueError(f"windows of {span.words} words at a similarity of {similarity} don't reach a recall of {recall}")
+    return best[1:]
 
 
 def _samples(span: Span, seed: int, reps: int) -> np.ndarray:
@@ -164,7 +196,7 @@ def _runs(ids: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """Windows of a block of passages by their sampled words."""
 
-    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, walks: int = 2, least_words: int = 1):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float = SIMILARITY, least_words: int = 1):
         self.items, self.plans = [], []
         for item_id, text in items:
             raw = text.encode()
@@ -181,9 +213,9 @@ class Index:
             start = np.concatenate([base[i] + np.arange(n - span.words + 1) for i, n in enumerate(sizes)])
             which = np.repeat(np.arange(len(chosen)), sizes - span.words + 1)
             shift = start - base[which]
-            reps = max(1, math.ceil(repetitions(span, similarity=similarity) / walks))
+            walks, reps = repetitions(span, similarity=similarity)
             for v in range(walks):
-                seed = SEED + 7919 * v + span.words
+                seed = _walk_seed(span, v)
                 seq = walk(ids, start, span.steps, seed)
                 tables = []
                 for steps in _samples(span, seed, reps):

@@ -587,7 +587,7 @@ def test_decontamination_recall_after_edits(spark):
 
 def test_decontamination_recall_at_the_limit_by_length():
     rng = random.Random(11)
-    for n in (*range(1, 33), 40, 60):
+    for n in (*range(1, 33), 40, 50, 60, 100, 200):
         items = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for k in range(300)]
         texts = []
         for k, (_, t) in enumerate(items):
