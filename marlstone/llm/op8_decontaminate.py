@@ -302,8 +302,12 @@ class Index:
         def verify(r: int, k: int, begin: int) -> None:
             size, most = len(self.items[k][1]), self.items[k][2]
             # A part within `most` edits that is aligned here begins and ends within `most` words of the passage.
-            stretch = ids[max(int(first[r]), begin - most) : min(int(first[r + 1]), begin + size + 2 * most)]
-            if self.closest(k, stretch.tolist()) <= most:
+            stretch = ids[max(int(first[r]), begin - most) : min(int(first[r + 1]), begin + size + 2 * most)].tolist()
+            # Each word of the passage that the stretch lacks is an edit.
+            masks, there = self.masks[k], 0
+            for x in masks.keys() & stretch:
+                there |= masks[x]
+            if there.bit_count() >= size - most and self.closest(k, stretch) <= most:
                 found[r].add(k)
 
         for r, k, begin in self.seeded(ids, first).tolist():
