@@ -304,15 +304,13 @@ def tree_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def focus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between focuses of a tree, parallel ones counted."""
-    nodes, edges = trees.focus_graph(script.nodes(_tree(spark, sf_dir).filter("folder = 'common/national_focus'")).persist())
-    return graph.inner_edges(nodes, edges).groupBy("group_id", "src", "dst").agg(F.count("*").alias("n"))
+    edges = trees.focus_edges(_tree(spark, sf_dir))
+    return edges.groupBy(F.concat("path", F.lit("#"), F.col("tree").cast("string")).alias("group_id"), "src", "dst").agg(F.count("*").alias("n"))
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triggers between events of a file, with the natural place of both ends."""
-    nodes, edges = trees.event_graph(script.nodes(_tree(spark, sf_dir).filter("folder = 'events'")).persist())
-    place = lambda end: nodes.select("group_id", F.col("id").alias(end), F.col("idx").alias(f"{end}_at"))
-    return graph.inner_edges(nodes, edges).join(place("src"), ["group_id", "src"]).join(place("dst"), ["group_id", "dst"]).select("group_id", "src", "dst", "src_at", "dst_at")
+    return trees.event_edges(_tree(spark, sf_dir)).withColumnRenamed("path", "group_id")
 
 
 def tree_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:

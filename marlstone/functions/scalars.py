@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Largest value of a digit run; longer runs saturate.
 MAX_NUMBER = 18446744073709551615
+_RUNS = re.compile(r"([0-9]+)|([^0-9]+)")
 # Languages by declaration order, with their command-line names and file codes.
 LANGUAGES = (
     ("brazilian_portuguese", "braz_por"),
@@ -41,6 +44,11 @@ def natural_key(value: Column) -> Column:
     return F.transform(runs, part)
 
 
+def natural_parts(value: str) -> list[tuple[int, int, str]]:
+    """``natural_key`` of one Python string."""
+    return [(0, min(int(n[:21]), MAX_NUMBER) if (n := digits.lstrip("0")) else 0, "") if digits else (1, 0, text) for digits, text in _RUNS.findall(value)]
+
+
 def with_commas(number: Column) -> Column:
     return F.format_number(number, 0)
 

@@ -48,6 +48,14 @@ def order(n: int, edges: list[tuple[int, int]]) -> tuple[list[int] | None, list[
     return (out if len(out) == n else None), part
 
 
+def order_ids(ids: list[str], edges: list[tuple[str, str]]) -> list[str] | None:
+    """The ids of one group, repeated ones once, in ``order``; edges that leave the group are dropped."""
+    own = list(dict.fromkeys(ids))
+    place = {x: k for k, x in enumerate(own)}
+    out, _ = order(len(own), [(place[a], place[b]) for a, b in edges if a in place and b in place])
+    return None if out is None else [own[k] for k in out]
+
+
 def inner_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (group_id, src, dst) whose ends both are nodes (group_id, id) of the group."""
     ends = nodes.select("group_id", "id").distinct()

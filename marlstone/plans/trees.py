@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from contextlib import suppress
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import requirements, scalars
 from ..operators import blocks, graph, report
@@ -31,14 +31,6 @@ class FormatDrift(Exception):
     pass
 
 
-def _path_is(*keys: str):
-    return F.col("key_path") == F.array(*map(F.lit, keys))
-
-
-def _within(*top: str):
-    return F.get("key_path", F.lit(0)).isin(*top)
-
-
 def references(files: DataFrame) -> DataFrame:
     """refs(key, path, offset): texts of events, ids of focuses, names of technologies."""
     own = tree.routed(files).filter(F.col("route").isin(*tree.FOLDERS.values()))
@@ -48,61 +40,129 @@ def references(files: DataFrame) -> DataFrame:
     below = F.slice("key_path", 2, 100)
     texts = below.isin([F.array(F.lit("title")), F.array(F.lit("desc")), F.array(F.lit("option"), F.lit("name"))])
     event = (F.col("route") == "events") & scalar & top.isin(*EVENT_KINDS) & texts
-    focus = (F.col("route") == "national_focus") & scalar & _path_is("focus_tree", "focus", "id")
+    focus = (F.col("route") == "national_focus") & scalar & (F.col("key_path") == F.array(*map(F.lit, ("focus_tree", "focus", "id"))))
     technology = (F.col("route") == "technologies") & (F.col("depth") == 1) & (top == "technologies") & F.col("key").isNotNull() & ~F.startswith("key", F.lit("@"))
     found = nodes.filter(event | focus | technology)
     is_tech = F.col("route") == "technologies"
     return report.first_refs(found.select(F.when(is_tech, F.col("key")).otherwise(F.col("scalar")).alias("key"), "path", F.when(is_tech, F.col("key_hit")).otherwise(F.col("hit")).alias("offset")))
 
 
-def focus_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (group_id, idx, id) and edges (group_id, src, dst); a group is one tree of one file."""
-    group = F.concat("path", F.lit("#"), F.get("ids", F.lit(0)).cast("string"))
-    within = nodes.filter((F.get("key_path", F.lit(0)) == "focus_tree") & (F.get("key_path", F.lit(1)) == "focus") & (F.col("kind") == "scalar"))
-    within = within.select(group.alias("group_id"), F.get("ids", F.lit(1)).alias("focus"), "node_id", "key_path", "scalar")
-    own = within.filter(_path_is("focus_tree", "focus", "id")).groupBy("group_id", "focus").agg(F.max_by("scalar", "node_id").alias("id"))
-    anchors = within.filter(_path_is("focus_tree", "focus", "relative_position_id")).groupBy("group_id", "focus").agg(F.max_by("scalar", "node_id").alias("src"))
-    needs = within.filter(_path_is("focus_tree", "focus", "prerequisite", "focus")).select("group_id", "focus", F.col("scalar").alias("src"))
-    edges = anchors.unionByName(needs).join(own.withColumnRenamed("id", "dst"), ["group_id", "focus"]).select("group_id", "src", "dst")
-    return own.select("group_id", F.col("focus").alias("idx"), "id"), edges
-
-
-def event_graph(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for events; a group is a file, and a node's place is its natural order."""
-    kinds = list(EVENT_KINDS)
-    top = nodes.filter(F.get("key_path", F.lit(0)).isin(*kinds))
-    own = top.filter((F.size("key_path") == 2) & (F.col("key") == "id") & (F.col("kind") == "scalar")).groupBy("path", F.get("ids", F.lit(0)).alias("event")).agg(F.max_by("scalar", "node_id").alias("id"))
-    by_name = Window.partitionBy("path").orderBy(scalars.natural_key(F.col("id")), "event")
+class Graph(NamedTuple):
+    """Ids in order of place, and edges (src, dst) between ids, which may lie outside."""
+
+    ids: list[str]
+    edges: list[tuple[str, str]]
+
+
+def focus_graphs(found: script.Tree) -> dict[int, Graph]:
+    """The graph of each focus tree of a file, by its node; a later id, or place relative to another, replaces the one before it."""
+    trees: dict[int, list[int]] = {}
+    focuses: dict[int, dict[str, str]] = {}
+    needs: dict[int, int] = {}
+    needed: dict[int, list[str]] = {}
+    for n, (parent, key, scalar) in enumerate(zip(found.parent, found.key, found.scalar, strict=True)):
+        if scalar is None:
+            if parent < 0:
+                if key == "focus_tree":
+                    trees[n] = []
+            elif parent in trees and key == "focus":
+                trees[parent].append(n)
+                focuses[n] = {}
+                needed[n] = []
+            elif parent in focuses and key == "prerequisite":
+                needs[n] = parent
+        elif parent in focuses:
+            if key in ("id", "relative_position_id"):
+                focuses[parent][key] = scalar
+        elif parent in needs and key == "focus":
+            needed[needs[parent]].append(scalar)
+    out = {}
+    for n, own in trees.items():
+        named = [(focuses[k]["id"], k) for k in own if "id" in focuses[k]]
+        anchors = [(focuses[k]["relative_position_id"], x) for x, k in named if "relative_position_id" in focuses[k]]
+        out[n] = Graph([x for x, _ in named], anchors + [(src, x) for x, k in named for src in needed[k]])
+    return out
+
+
+def event_graph(found: script.Tree) -> Graph:
+    """The same for the events of a file, whose places are their natural order."""
+    root: dict[int, int] = {}
+    ids: dict[int, str] = {}
     # A trigger is an event kind at any depth, but not within another trigger.
-    outer = F.exists(F.slice(F.col("key_path"), F.lit(2), F.greatest(F.size("key_path") - 2, F.lit(0))), lambda k: k.isin(*kinds))
-    triggers = top.filter((F.size("key_path") > 1) & F.col("key").isin(*kinds) & ~outer)
-    direct = triggers.filter("kind = 'scalar'").select("path", F.get("ids", F.lit(0)).alias("event"), F.col("scalar").alias("dst"))
-    named = top.filter((F.col("key") == "id") & (F.col("kind") == "scalar")).select("path", F.col("parent_id").alias("node_id"), F.col("scalar").alias("dst"))
-    nested = triggers.filter("kind = 'object'").select("path", "node_id", F.get("ids", F.lit(0)).alias("event")).join(named, ["path", "node_id"]).select("path", "event", "dst")
-    edges = direct.unionByName(nested).join(own.withColumnRenamed("id", "src"), ["path", "event"]).select(F.col("path").alias("group_id"), "src", "dst")
-    return own.select(F.col("path").alias("group_id"), F.row_number().over(by_name).alias("idx"), "id"), edges
+    triggers: set[int] = set()
+    within: set[int] = set()
+    edges: list[tuple[int, str]] = []
+    for n, (parent, key, scalar) in enumerate(zip(found.parent, found.key, found.scalar, strict=True)):
+        if parent < 0:
+            if scalar is None and key in EVENT_KINDS:
+                root[n] = n
+            continue
+        event = root.get(parent)
+        if event is None:
+            continue
+        if scalar is None:
+            root[n] = event
+            if parent in within:
+                within.add(n)
+            elif key in EVENT_KINDS:
+                within.add(n)
+                triggers.add(n)
+        elif key == "id":
+            if parent == event:
+                ids[event] = scalar
+            elif parent in triggers:
+                edges.append((event, scalar))
+        elif key in EVENT_KINDS and parent not in within:
+            edges.append((event, scalar))
+    place = sorted(ids, key=lambda n: (scalars.natural_parts(ids[n]), n))
+    return Graph([ids[n] for n in place], [(ids[n], dst) for n, dst in edges if n in ids])
+
+
+def event_edges(files: DataFrame) -> DataFrame:
+    """(path, src, dst, src_at, dst_at): triggers between events of a file, with the natural place of both ends."""
+
+    def rows(text: str, found: script.Tree | None) -> Iterator[tuple]:
+        graph_ = event_graph(found) if found else Graph([], [])
+        at: dict[str, list[int]] = {}
+        for k, x in enumerate(graph_.ids):
+            at.setdefault(x, []).append(k + 1)
+        for src, dst in graph_.edges:
+            yield from ((src, dst, a, b) for a in at[src] for b in at.get(dst, ()))
+
+    return script.per_file(files.filter("folder = 'events'"), "src string, dst string, src_at int, dst_at int", rows)
+
+
+def focus_edges(files: DataFrame) -> DataFrame:
+    """(path, tree, src, dst): edges between focuses of a tree, whose number is its node."""
+
+    def rows(text: str, found: script.Tree | None) -> Iterator[tuple]:
+        for n, own in (focus_graphs(found) if found else {}).items():
+            ids = set(own.ids)
+            yield from ((n, src, dst) for src, dst in own.edges if src in ids)
+
+    return script.per_file(files.filter("folder = 'common/national_focus'"), "tree int, src string, dst string", rows)
 
 
 def rewrites(files: DataFrame) -> DataFrame:
     """rewrites(path, kind, text, new_text, changed) of all focus and event files.
 
-    The nodes that the graphs are made of are persisted, as several relations come from
-    them and parsing is what costs most.
+    A graph lies within one file, so a file is parsed, ordered and rewritten in one turn.
     """
-    focus_files = files.filter("folder = 'common/national_focus'")
-    event_files = files.filter("folder = 'events'")
-    nodes, edges = focus_graph(script.nodes(focus_files).filter(_within("focus_tree")).persist())
-    done = graph.toposort(nodes, edges).filter("ok")
-    place = done.select(F.regexp_extract("group_id", r"^(?s:(.*))#[0-9]+$", 1).alias("path"), F.regexp_extract("group_id", r"#([0-9]+)$", 1).cast("int").alias("tree"), "rank", "id")
-    nodes, edges = event_graph(script.nodes(event_files).filter(_within(*EVENT_KINDS)).persist())
-    place_events = graph.toposort(nodes, edges).filter("ok").select(F.col("group_id").alias("path"), F.lit(0).alias("tree"), "rank", "id")
-
-    def of(kind: str, texts: DataFrame, order: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-        ids = order.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("tree", "rank", "id"))), lambda x: x["id"]).alias("ids"))
-        out = texts.select("path", "text").join(ids, "path", "left").withColumn("new_text", blocks.rewritten(F.col("text"), F.col("ids"), keywords))
-        return out.select("path", F.lit(kind).alias("kind"), "text", "new_text", (F.col("new_text") != F.col("text")).alias("changed"))
-
-    return of("focus", focus_files, place, ("focus",)).unionByName(of("events", event_files, place_events, EVENT_KINDS))
+
+    def rows(text: str, found: script.Tree | None, folder: str) -> Iterator[tuple]:
+        ids: list[str] = []
+        if folder == "events":
+            kind, keywords, graphs = "events", EVENT_KINDS, [event_graph(found)] if found else []
+        else:
+            kind, keywords, graphs = "focus", ("focus",), focus_graphs(found).values() if found else []
+        for own in graphs:
+            ids += graph.order_ids(*own) or []
+        new = blocks.in_order(text, found, ids, keywords)
+        yield kind, text, new, new != text
+
+    own = files.filter(F.col("folder").isin("common/national_focus", "events"))
+    out = script.per_file(own, "kind string, text string, new_text string, changed boolean", rows, ("folder",))
+    return out.drop("folder")
 
 
 def write(changes: DataFrame) -> None:

@@ -8,7 +8,8 @@ gives no nodes.  Offsets are UTF-8 bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,83 +17,140 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 NODES = "path string, node_id int, parent_id int, depth int, ord int, key_path array<string>, ids array<int>, key string, kind string, scalar string, start long, end long, hit long, key_hit long"
-
-_TOKEN = re.compile(
-    rb"""(?P<skip>[\s;]+|\A\xef\xbb\xbf|\#[^\r\n]*)
-       | "(?P<quoted>[^"]*)"
-       | (?P<brace>[{}])
-       | (?P<op>[<>=!?]=|[<>=])
-       | (?P<bare>(?:[^\s;{}=<>\#"!?]|[!?](?!=))+)""",
-    re.X,
+#: A batch goes back to Spark after so many rows, or the rows of so many files; a file's own rows stay together.
+BATCH_ROWS = 8192
+BATCH_FILES = 256
+
+_BOM = b"\xef\xbb\xbf"
+_SKIP = rb"[\s;]*+(?:\#[^\r\n]*+[\s;]*+)*+"
+_WORD = rb"""(?:"[^"]*+"|(?:[^\s;{}=<>\#"!?]++|[!?](?!=))++)"""
+_OP = rb"(?:[<>=!?]=|[<>=])"
+_REST = re.compile(_SKIP)
+# One node or closing brace a match; an operator without a word before it is passed over.
+_STATEMENT = re.compile(
+    rb"%(skip)s(?:(?P<word>%(word)s)%(skip)s(?:(?:%(op)s%(skip)s)++(?:(?P<value>%(word)s)|(?P<named>\{)|(?P<none>))|(?P<bare>\{)|)|(?P<close>\})|(?P<open>\{)|%(op)s)"
+    % {b"skip": _SKIP, b"word": _WORD, b"op": _OP}
 )
+_LONE, _VALUE, _NAMED, _NONE, _BARE, _CLOSE, _OPEN = (_STATEMENT.groupindex[x] for x in ("word", "value", "named", "none", "bare", "close", "open"))
 
 
 class Unreadable(ValueError):
     pass
 
 
-def tokens(data: bytes) -> Iterator[tuple[str, bytes, int, int]]:
-    at = 0
-    while at < len(data):
-        m = _TOKEN.match(data, at)
-        if m is None:
-            raise Unreadable(f"byte {at}")
-        at = m.end()
-        if m.lastgroup != "skip":
-            yield m.lastgroup, m[m.lastgroup], m.start(), at
+class Tree(NamedTuple):
+    """A file's bytes and its nodes in document order, a list for each field; -1 is above the first level, an object has no scalar."""
 
+    data: bytes
+    parent: list[int]
+    key: list[str | None]
+    scalar: list[str | None]
+    start: list[int]
+    end: list[int]
 
-def parse(text: str) -> list[dict]:
+
+def _text(word: bytes) -> str:
+    return (word[1:-1] if word[0] == 34 else word).decode()
+
+
+def scan(text: str) -> Tree:
     """Nodes in document order; an object's ``end`` is after its closing brace."""
-    out: list[dict] = []
-    above = [{"node_id": -1, "depth": -1, "key_path": [], "ids": [], "count": 0}]
-    key: tuple[str, int] | None = None
-    has_op = False
-
-    def add(kind: str, scalar: str | None, start: int, end: int) -> dict:
-        nonlocal key, has_op
-        top = above[-1]
-        name, begin = key if key and has_op else (None, start)
-        node = {"node_id": len(out), "parent_id": top["node_id"], "depth": top["depth"] + 1, "ord": top["count"], "key_path": [*top["key_path"], name or ""], "ids": [*top["ids"], len(out)], "key": name, "kind": kind, "scalar": scalar, "start": begin, "end": end, "count": 0}
-        top["count"] += 1
-        out.append(node)
-        key, has_op = None, False
-        return node
-
-    def settle() -> None:
-        """A word that no operator followed was a value."""
-        nonlocal key
-        if key and not has_op:
-            word, at = key
-            key = None
-            add("scalar", word, at, at + len(word.encode()))
-
-    for kind, raw, start, end in tokens(text.encode()):
-        if kind == "op":
-            has_op = key is not None
-        elif kind == "brace" and raw == b"{":
-            if key and not has_op:
-                # `name {` without an operator still names the object.
-                has_op = True
-            above.append(add("object", None, start, end))
-        elif kind == "brace":
-            settle()
-            key, has_op = None, False
+    data = text.encode()
+    tree = Tree(data, [], [], [], [], [])
+    parents, keys, scalars, starts, ends = tree[1:]
+    above = [-1]
+    at = len(_BOM) if data.startswith(_BOM) else 0
+    for m in iter(_STATEMENT.scanner(data, at).match, None):
+        at = m.end()
+        what = m.lastindex
+        if what == _VALUE:
+            parents.append(above[-1])
+            keys.append(_text(m[_LONE]))
+            scalars.append(_text(m[_VALUE]))
+            starts.append(m.start(_LONE))
+            ends.append(at)
+        elif what == _CLOSE:
             if len(above) > 1:
-                above.pop()["end"] = end
-        else:
-            word = raw.decode()
-            if key and has_op:
-                add("scalar", word, start, end)
-            else:
-                settle()
-                key = (word, start)
-    settle()
+                ends[above.pop()] = at
+        elif what == _NAMED or what == _BARE or what == _OPEN:
+            node = len(parents)
+            parents.append(above[-1])
+            # `name {` without an operator still names the object.
+            keys.append(None if what == _OPEN else _text(m[_LONE]))
+            scalars.append(None)
+            starts.append(m.start(_OPEN if what == _OPEN else _LONE))
+            ends.append(at)
+            above.append(node)
+        elif what == _LONE:
+            # A word that no operator followed was a value.
+            word = _text(m[_LONE])
+            parents.append(above[-1])
+            keys.append(None)
+            scalars.append(word)
+            starts.append(m.start(_LONE))
+            ends.append(m.start(_LONE) + len(word.encode()))
+    at = _REST.match(data, at).end()
+    if at < len(data):
+        raise Unreadable(f"byte {at}")
     if len(above) > 1:
         raise Unreadable("unclosed brace")
+    return tree
+
+
+def parse(text: str) -> list[dict]:
+    """The nodes of ``scan`` with their paths, each a dict."""
+    return _described(scan(text))
+
+
+def _described(tree: Tree) -> list[dict]:
+    out: list[dict] = []
+    top = {"node_id": -1, "depth": -1, "key_path": [], "ids": [], "count": 0}
+    for k, (parent, key, scalar, start, end) in enumerate(zip(*tree[1:], strict=True)):
+        over = out[parent] if parent >= 0 else top
+        out.append({"node_id": k, "parent_id": parent, "depth": over["depth"] + 1, "ord": over["count"], "key_path": [*over["key_path"], key or ""], "ids": [*over["ids"], k], "key": key, "kind": "object" if scalar is None else "scalar", "scalar": scalar, "start": start, "end": end, "count": 0})
+        over["count"] += 1
     return out
 
 
+def hit(tree: Tree, what: str) -> int:
+    """The bytes before the first occurrence anywhere in the text, which need not be a node."""
+    return max(tree.data.find(what.encode()), 0)
+
+
+def per_file(files: DataFrame, fields: str, rows: Callable[..., Iterable[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *fields, *carry): the rows that ``rows(text, tree, *carried)`` gives of each file (path, text).
+
+    ``tree`` is None for an unreadable file.  Parsed nodes live no longer than their file's turn, and rows go out
+    in bounded batches, so that memory follows the largest file and not how many there are.
+    """
+    kind = T.StructType([files.schema["path"], *T.StructType.fromDDL(fields), *(files.schema[c] for c in carry)])
+    schema = to_arrow_schema(kind)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], kind.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_FILES):
+                out: list[tuple] = []
+                for path, text, *carried in zip(*(c.to_pylist() for c in batch.slice(at, BATCH_FILES).columns), strict=True):
+                    try:
+                        tree = scan(text)
+                    except Unreadable:
+                        tree = None
+                    out += [(path, *row, *carried) for row in rows(text, tree, *carried)]
+                    if len(out) >= BATCH_ROWS:
+                        yield made(out)
+                        out = []
+                if out:
+                    yield made(out)
+            # The next one comes in before this name is bound again.
+            del batch
+
+    return files.select("path", "text", *carry).mapInArrow(run, kind)
+
+
 def nodes(files: DataFrame, hits: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """The nodes of files (path, text); unreadable files give none.
 
@@ -102,36 +160,19 @@ def nodes(files: DataFrame, hits: tuple[str, ...] | None = None, carry: tuple[st
     come along from the file.
     """
 
-    def located(found: list[dict], text: str) -> list[dict]:
-        data, places = text.encode(), {}
-        for n in found:
+    names = [f.name for f in T.StructType.fromDDL(NODES)][1:]
+
+    def rows(text: str, tree: Tree | None, *carried: object) -> Iterator[tuple]:
+        places: dict[str, int] = {}
+        for n in _described(tree) if tree else ():
             wanted = hits is not None and n["key_path"][0] in hits
             for to, what in (("hit", n["scalar"]), ("key_hit", n["key"])):
                 if not wanted or what is None:
                     n[to] = None
                     continue
                 if what not in places:
-                    places[what] = max(data.find(what.encode()), 0)
+                    places[what] = hit(tree, what)
                 n[to] = places[what]
-        return found
-
-    fields = T.StructType.fromDDL(NODES).fields
-    kind = T.StructType([*fields, *(files.schema[c] for c in carry)])
-    types = to_arrow_schema(T.StructType(fields[1:]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own: list[dict] = []
-            at: list[int] = []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                try:
-                    found = located(parse(text), text)
-                except Unreadable:
-                    continue
-                own += found
-                at += [k] * len(found)
-            columns = [pa.array([n[f.name] for n in own], f.type) for f in types]
-            of_file = batch.select(["path", *carry]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([of_file.column(0), *columns, *of_file.columns[1:]], kind.names)
+            yield tuple(n[x] for x in names)
 
-    return files.select("path", "text", *carry).mapInArrow(run, kind)
+    return per_file(files, NODES.partition(", ")[2], rows, carry)

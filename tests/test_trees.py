@@ -377,3 +377,43 @@ def test_first_refs_and_limit(spark):
     gone = report.missing(refs, dimension, spark.createDataFrame([], "lang string, key string"))
     assert [r["key"] for r in report.top(gone).orderBy("rank").collect()] == [f"k{i:02d}" for i in range(10)]
     assert report.summary(refs, gone).first()["hidden"] == 2
+
+
+TRIGGERS = """country_event = { id = x.10 immediate = { if = { news_event = { id = x.2 id = x.9 state_event = x.10 } } } news_event = y.1 }
+news_event = { id = x.9 country_event = x.2 option = { state_event = { id = x.10 country_event = { id = x.2 } } } }
+country_event = { id = x.2 }
+"""
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rewrites_are_one_pass_that_keeps_no_nodes(spark, mod):
+    # Nodes that were persisted and joined took all of an executor's memory.
+    plan = _plan(trees.rewrites(files.read_tree(spark, str(mod))))
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("Exchange", "InMemory", "Join"))
+
+
+def test_graphs_of_a_file():
+    own = trees.event_graph(script.scan(TRIGGERS))
+    # What is within a trigger is none.
+    assert own.ids == ["x.2", "x.9", "x.10"]
+    assert sorted(own.edges) == [("x.10", "x.2"), ("x.10", "x.9"), ("x.10", "y.1"), ("x.9", "x.10"), ("x.9", "x.2")]
+    (focus,) = trees.focus_graphs(script.scan(FOCUSES)).values()
+    assert focus.ids == ["b", "c", "a"] and sorted(focus.edges) == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert graph.order_ids(*focus) == ["a", "b", "c"] and graph.order_ids(["a", "b", "a"], [("a", "b"), ("b", "a")]) is None
+
+
+def test_natural_order_in_python(spark):
+    names = ["x.10", "x.2", "x.02", "", "x", "a\n2", "9" * 44, "18446744073709551615", "000", "7x", "é1"]
+    rows = spark.createDataFrame([(x,) for x in names], "x string").select("x", scalars.natural_key(F.col("x")).alias("k")).collect()
+    assert {r["x"]: [(p["k"], int(p["n"]), p["t"]) for p in r["k"]] for r in rows} == {x: scalars.natural_parts(x) for x in names}
+
+
+def test_parser_takes_odd_words_apart():
+    got = [(n["key"], n["scalar"], n["start"], n["end"]) for n in script.parse('\ufeffa == "b c" "d" e {f} g = } ! != x "k"="v"#"')]
+    assert got == [("a", "b c", 3, 13), (None, "d", 14, 15), ("e", None, 18, 23), (None, "f", 21, 22), ("!", "x", 30, 36), ("k", "v", 37, 44)]
+    for text in ('a = "b', "a = {{}", 'a # "\n"'):
+        with pytest.raises(script.Unreadable):
+            script.parse(text)
