@@ -417,3 +417,15 @@ def test_parser_takes_odd_words_apart():
     for text in ('a = "b', "a = {{}", 'a # "\n"'):
         with pytest.raises(script.Unreadable):
             script.parse(text)
+
+
+def test_event_edges_are_one_pass_that_keeps_no_nodes(spark):
+    tree = files.with_names(spark.createDataFrame([("events/a.txt", TRIGGERS), ("events/b.txt", "country_event = {"), ("events/c.txt", EVENTS), ("events/d.txt", TRIGGERS + TRIGGERS)], "path string, text string"))
+    plan = _plan(trees.event_edges(tree))
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("Exchange", "InMemory", "Join"))
+    rows = trees.event_edges(tree).collect()
+    got = [tuple(r) for r in rows if r["path"] == "events/a.txt"]
+    assert sorted(x[1:] for x in got) == [("x.10", "x.2", 3, 1), ("x.10", "x.9", 3, 2), ("x.9", "x.10", 2, 3), ("x.9", "x.2", 2, 1)]
+    # Each of two events of a name is an end of each edge of that name.
+    assert len([r for r in rows if r["path"] == "events/d.txt"]) == 4 * 2 * 4
+    assert {tuple(r)[1:] for r in rows if r["path"] == "events/c.txt"} == {("x.2", "x.10", 1, 2)} and "events/b.txt" not in {r["path"] for r in rows}
