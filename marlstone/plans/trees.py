@@ -31,20 +31,43 @@ class FormatDrift(Exception):
     pass
 
 
+def referenced(found: script.Tree, route: str) -> Iterator[str]:
+    """Texts of a file's events, ids of its focuses or names of its technologies."""
+    parent, key = found.parent, found.key
+
+    def under(n: int, *keys: str) -> bool:
+        """Whether ``keys`` are those from node n up to the first level."""
+        for k in keys:
+            if n < 0 or key[n] != k:
+                return False
+            n = parent[n]
+        return n < 0
+
+    for up, name, scalar in zip(parent, key, found.scalar, strict=True):
+        if route == "technologies":
+            if name is not None and not name.startswith("@") and under(up, "technologies"):
+                yield name
+        elif scalar is None:
+            continue
+        elif route == "national_focus":
+            if name == "id" and under(up, "focus", "focus_tree"):
+                yield scalar
+        elif name in ("title", "desc", "name"):
+            if name == "name":
+                up = parent[up] if up >= 0 and key[up] == "option" else -1
+            if up >= 0 and parent[up] < 0 and key[up] in EVENT_KINDS:
+                yield scalar
+
+
 def references(files: DataFrame) -> DataFrame:
     """refs(key, path, offset): texts of events, ids of focuses, names of technologies."""
+
+    def rows(text: str, found: script.Tree | None, route: str) -> Iterator[tuple]:
+        if found:
+            yield from ((x, script.hit(found, x)) for x in dict.fromkeys(referenced(found, route)))
+
     own = tree.routed(files).filter(F.col("route").isin(*tree.FOLDERS.values()))
-    nodes = script.nodes(own, hits=(*EVENT_KINDS, "focus_tree", "technologies"), carry=("route",))
-    scalar = F.col("kind") == "scalar"
-    top = F.get("key_path", F.lit(0))
-    below = F.slice("key_path", 2, 100)
-    texts = below.isin([F.array(F.lit("title")), F.array(F.lit("desc")), F.array(F.lit("option"), F.lit("name"))])
-    event = (F.col("route") == "events") & scalar & top.isin(*EVENT_KINDS) & texts
-    focus = (F.col("route") == "national_focus") & scalar & (F.col("key_path") == F.array(*map(F.lit, ("focus_tree", "focus", "id"))))
-    technology = (F.col("route") == "technologies") & (F.col("depth") == 1) & (top == "technologies") & F.col("key").isNotNull() & ~F.startswith("key", F.lit("@"))
-    found = nodes.filter(event | focus | technology)
-    is_tech = F.col("route") == "technologies"
-    return report.first_refs(found.select(F.when(is_tech, F.col("key")).otherwise(F.col("scalar")).alias("key"), "path", F.when(is_tech, F.col("key_hit")).otherwise(F.col("hit")).alias("offset")))
+    return report.first_refs(script.per_file(own, "key string, offset long", rows, ("route",)).select("key", "path", "offset"))
 
 
 class Graph(NamedTuple):

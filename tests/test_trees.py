@@ -429,3 +429,14 @@ def test_event_edges_are_one_pass_that_keeps_no_nodes(spark):
     # Each of two events of a name is an end of each edge of that name.
     assert len([r for r in rows if r["path"] == "events/d.txt"]) == 4 * 2 * 4
     assert {tuple(r)[1:] for r in rows if r["path"] == "events/c.txt"} == {("x.2", "x.10", 1, 2)} and "events/b.txt" not in {r["path"] for r in rows}
+
+
+def test_only_references_leave_the_parser(spark, mod):
+    tree = files.read_tree(spark, str(mod))
+    # All nodes of a batch of files, and the first hit of each word, took an executor's memory.
+    assert "key_path" not in _plan(trees.references(tree)) and _plan(trees.references(tree)).count("MapInArrow") == 1
+    odd = 'country_event = { title = a title = { text = b } desc = "c d" name = e option = { name = f title = g option = { name = h } } }\ntitle = i option = { name = j } other = { title = k }'
+    assert list(trees.referenced(script.scan(odd), "events")) == ["a", "c d", "f"]
+    odd = "focus_tree = { id = a focus = { id = b focus = { id = c } id = { x = d } } } focus = { id = e }"
+    assert list(trees.referenced(script.scan(odd), "national_focus")) == ["b"]
+    assert list(trees.referenced(script.scan("technologies = { @v = 1 a = { b = 2 } c = 3 d } e = 4"), "technologies")) == ["a", "c"]
