@@ -254,18 +254,29 @@ def rendered(spark: SparkSession, root: str, rows: list) -> list[str]:
 
 def check_descriptor(descriptor: DataFrame, version_data: DataFrame | None = None) -> DataFrame:
     """Repeated keys, whether or not there is version data, and a requirement that the latest version misses."""
-    fields = script.nodes(descriptor).filter((F.col("depth") == 0) & F.col("key").isNotNull())
-    fields = report.nth_of(fields, ("path", "key"), ("node_id",)).join(descriptor, "path")
-    again = fields.filter("nth > 1 and key <> 'replace_path'").withColumn("offset", scalars.second_byte_offset(F.col("text"), F.col("key")))
-    columns = [F.lit("warning").alias("severity"), "key", F.col("detail"), "path", "offset", "length", "rank"]
-    out = again.select(F.lit("duplicate_key").alias("kind"), "key", F.lit("").alias("detail"), "path", "offset", F.octet_length("key").cast("long").alias("length"), F.col("node_id").alias("rank"))
-    out = out.select("kind", *columns)
+
+    def rows(text: str, found: script.Tree | None) -> Iterator[tuple]:
+        # Of each key its place after the first one, which is that of all its repeats; looked for once.
+        again: dict[str, int | None] = {}
+        for n, (parent, key, scalar) in enumerate(zip(found.parent, found.key, found.scalar, strict=True) if found else ()):
+            if parent >= 0 or key is None:
+                continue
+            if key not in again:
+                again[key] = None
+                if key == "supported_version" and scalar is not None:
+                    yield "version_mismatch", scalar, script.hit(found, scalar), n
+            elif key != "replace_path":
+                if again[key] is None:
+                    again[key] = script.hit(found, key, second=True)
+                yield "duplicate_key", key, again[key], n
+
+    fields = script.per_file(descriptor, "kind string, key string, offset long, rank int", rows)
+    columns = ["kind", F.lit("warning").alias("severity"), "key", F.col("detail"), "path", "offset", F.octet_length("key").cast("long").alias("length"), "rank"]
+    out = fields.filter("kind = 'duplicate_key'").withColumn("detail", F.lit("")).select(*columns)
     if version_data is not None:
-        latest = versions.latest(version_data).filter("version is not null")
-        wanted = fields.filter("nth = 1 and key = 'supported_version' and kind = 'scalar'").crossJoin(F.broadcast(latest))
-        off = wanted.filter(~requirements.requirement_matches(F.col("scalar"), F.col("version")))
-        off = off.select(F.lit("version_mismatch").alias("kind"), F.col("scalar").alias("key"), F.col("version").alias("detail"), "path", scalars.byte_offset(F.col("text"), F.col("scalar")).alias("offset"), F.octet_length("scalar").cast("long").alias("length"), F.col("node_id").alias("rank"))
-        out = out.unionByName(off.select("kind", *columns))
+        latest = versions.latest(version_data).filter("version is not null").withColumnRenamed("version", "detail")
+        wanted = fields.filter("kind = 'version_mismatch'").crossJoin(F.broadcast(latest))
+        out = out.unionByName(wanted.filter(~requirements.requirement_matches(F.col("key"), F.col("detail"))).select(*columns))
     return out
 
 

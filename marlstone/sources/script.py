@@ -112,9 +112,11 @@ def _described(tree: Tree) -> list[dict]:
     return out
 
 
-def hit(tree: Tree, what: str) -> int:
-    """The bytes before the first occurrence anywhere in the text, which need not be a node."""
-    return max(tree.data.find(what.encode()), 0)
+def hit(tree: Tree, what: str, second: bool = False) -> int:
+    """The bytes before the first occurrence anywhere in the text, which need not be a node, or before the one after it if there is one."""
+    word = what.encode()
+    at = max(tree.data.find(word), 0)
+    return max(tree.data.find(word, at + len(word)), at) if second else at
 
 
 def per_file(files: DataFrame, fields: str, rows: Callable[..., Iterable[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:

@@ -440,3 +440,13 @@ def test_only_references_leave_the_parser(spark, mod):
     odd = "focus_tree = { id = a focus = { id = b focus = { id = c } id = { x = d } } } focus = { id = e }"
     assert list(trees.referenced(script.scan(odd), "national_focus")) == ["b"]
     assert list(trees.referenced(script.scan("technologies = { @v = 1 a = { b = 2 } c = 3 d } e = 4"), "technologies")) == ["a", "c"]
+
+
+def test_a_descriptor_is_searched_once_for_each_key(spark):
+    # Each repeat took a copy of the whole text along, and looked for its place again.
+    text = "é = 1\nkey = 2\n" + "".join(f"key = {k}\nreplace_path = {k}\n" for k in range(20_000)) + "é = { key = 1 }\n"
+    own = spark.createDataFrame([("d", text), ("e", "a = 1 a = {")], "path string, text string")
+    assert "Join" not in _plan(trees.check_descriptor(own))
+    got = [(r["key"], r["offset"], r["length"], r["rank"]) for r in trees.check_descriptor(own).orderBy("rank").collect()]
+    second = text.encode().index(b"key", 12)
+    assert got == [*(("key", second, 3, 2 + 2 * k) for k in range(20_000)), ("é", text.encode().rindex("é".encode()), 2, 40_002)]
