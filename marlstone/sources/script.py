@@ -13,13 +13,17 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 NODES = "path string, node_id int, parent_id int, depth int, ord int, key_path array<string>, ids array<int>, key string, kind string, scalar string, start long, end long, hit long, key_hit long"
-#: A batch goes back to Spark after so many rows, or the rows of so many files; a file's own rows stay together.
+#: A batch goes back to Spark after so many rows, or the rows of so many files or bytes of text; a file's own rows stay together.
 BATCH_ROWS = 8192
 BATCH_FILES = 256
+BATCH_BYTES = 1 << 22
+#: Spark bounds the rows of a batch it hands over, but hardly their bytes; so a text goes over in pieces of at most so many bytes.
+PIECE = 1024
 
 _BOM = b"\xef\xbb\xbf"
 _SKIP = rb"[\s;]*+(?:\#[^\r\n]*+[\s;]*+)*+"
@@ -119,11 +123,22 @@ def hit(tree: Tree, what: str, second: bool = False) -> int:
     return max(tree.data.find(word, at + len(word)), at) if second else at
 
 
+def pieces(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(path, *carry, last, piece): the texts' bytes in pieces, those of a file one after the other."""
+    size = F.octet_length("text")
+    # The bytes are bound once, so that a piece costs its own length and not the whole text's.
+    cut = F.transform(
+        F.array(F.col("text").cast("binary")),
+        lambda b: F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(PIECE)), lambda at: F.struct((at + PIECE > size).alias("last"), F.substring(b, at, F.lit(PIECE)).alias("piece"))),
+    )
+    return files.select("path", *carry, F.inline(F.get(cut, F.lit(0))).alias("last", "piece"))
+
+
 def per_file(files: DataFrame, fields: str, rows: Callable[..., Iterable[tuple]], carry: tuple[str, ...] = ()) -> DataFrame:
     """(path, *fields, *carry): the rows that ``rows(text, tree, *carried)`` gives of each file (path, text).
 
-    ``tree`` is None for an unreadable file.  Parsed nodes live no longer than their file's turn, and rows go out
-    in bounded batches, so that memory follows the largest file and not how many there are.
+    ``tree`` is None for an unreadable file.  Parsed nodes live no longer than their file's turn, texts come in pieces
+    and rows go out in bounded batches, so that memory follows the largest file and neither how many nor how long all are.
     """
     kind = T.StructType([files.schema["path"], *T.StructType.fromDDL(fields), *(files.schema[c] for c in carry)])
     schema = to_arrow_schema(kind)
@@ -132,25 +147,37 @@ def per_file(files: DataFrame, fields: str, rows: Callable[..., Iterable[tuple]]
         columns = zip(*out, strict=True) if out else [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], kind.names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        parts: list[bytes] = []
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_FILES):
-                out: list[tuple] = []
-                for path, text, *carried in zip(*(c.to_pylist() for c in batch.slice(at, BATCH_FILES).columns), strict=True):
-                    try:
-                        tree = scan(text)
-                    except Unreadable:
-                        tree = None
-                    out += [(path, *row, *carried) for row in rows(text, tree, *carried)]
-                    if len(out) >= BATCH_ROWS:
-                        yield made(out)
-                        out = []
-                if out:
-                    yield made(out)
+                for *file, last, piece in zip(*(c.to_pylist() for c in batch.slice(at, BATCH_FILES).columns), strict=True):
+                    parts.append(piece)
+                    if last:
+                        yield b"".join(parts), *file
+                        parts = []
             # The next one comes in before this name is bound again.
             del batch
 
-    return files.select("path", "text", *carry).mapInArrow(run, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        n_files = n_bytes = 0
+        for data, path, *carried in whole(batches):
+            text = data.decode()
+            try:
+                tree = scan(text)
+            except Unreadable:
+                tree = None
+            out += [(path, *row, *carried) for row in rows(text, tree, *carried)]
+            n_files, n_bytes = n_files + 1, n_bytes + len(data)
+            if len(out) >= BATCH_ROWS or n_files >= BATCH_FILES or n_bytes >= BATCH_BYTES:
+                if out:
+                    yield made(out)
+                out, n_files, n_bytes = [], 0, 0
+        if out:
+            yield made(out)
+
+    return pieces(files, carry).mapInArrow(run, kind)
 
 
 def nodes(files: DataFrame, hits: tuple[str, ...] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -431,6 +431,27 @@ def test_event_edges_are_one_pass_that_keeps_no_nodes(spark):
     assert {tuple(r)[1:] for r in rows if r["path"] == "events/c.txt"} == {("x.2", "x.10", 1, 2)} and "events/b.txt" not in {r["path"] for r in rows}
 
 
+def test_long_files_reach_a_worker_in_small_batches(spark, monkeypatch):
+    # All files of a task came in one batch, which the JVM and the worker both held: 16 MB here.
+    texts = ["", "x", "a" * 1023 + "é", "\r\n" * 700, "€𝄞\x00" * 1500] + [f"a = {k}\n" + "#" * 500_000 for k in range(32)]
+    own = spark.createDataFrame([(None if k == 1 else str(k), t, f"c{k}") for k, t in enumerate(texts)], "path string, text string, mark string").coalesce(1)
+    plain = type(own).mapInArrow
+
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes < 12_000_000, batch.nbytes
+            yield batch
+
+    def rows(text, found, mark):
+        yield "digest", hashlib.md5(text.encode()).hexdigest()
+        yield "nodes", str(len(found.key))
+
+    monkeypatch.setattr(type(own), "mapInArrow", lambda df, run, kind: plain(df, lambda batches: run(small(batches)), kind))
+    got = [tuple(r) for r in script.per_file(own, "what string, value string", rows, ("mark",)).collect()]
+    assert [r for r in got if r[1] == "digest"] == [(None if k == 1 else str(k), "digest", hashlib.md5(t.encode()).hexdigest(), f"c{k}") for k, t in enumerate(texts)]
+    assert len(got) == 2 * len(texts)
+
+
 def test_only_references_leave_the_parser(spark, mod):
     tree = files.read_tree(spark, str(mod))
     # All nodes of a batch of files, and the first hit of each word, took an executor's memory.
